@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamgraph.llm import simhash_dedup
+from loamgraph.llm import curve_packing, language_id, quality_rules, simhash_dedup, substring_dedup
 
-MODULES = [simhash_dedup]
+MODULES = [substring_dedup, quality_rules, language_id, curve_packing, simhash_dedup]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
