@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from loamgraph.llm import curve_packing, language_id, quality_rules, simhash_dedup, substring_dedup
+from loamgraph.llm import (
+    byte_bpe,
+    chat_quotes,
+    curve_packing,
+    html_extraction,
+    language_id,
+    media_sniffing,
+    quality_rules,
+    simhash_dedup,
+    substring_dedup,
+    toxicity,
+)
 
-MODULES = [substring_dedup, quality_rules, language_id, curve_packing, simhash_dedup]
+MODULES = [substring_dedup, quality_rules, toxicity, byte_bpe, html_extraction, chat_quotes, language_id, curve_packing, media_sniffing, simhash_dedup]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
