@@ -5,7 +5,640 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loamgraph.functions import scalars as S
+from loamgraph.functions import text as T
+from loamgraph.functions import vectors as V
+from loamgraph.operators import aggregates, fulltext, graph, memory, routing, triples
+from loamgraph.operators import vector_search as VS
+from loamgraph.streaming import retention
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _first(rows: DataFrame, id_: int = 0) -> list[float]:
+    return [float(x) for x in rows.where(F.col("id") == id_).first()["vector"]]
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(c, digits).alias(c)
+
+
+# --- vectors -----------------------------------------------------------------------------------------
+
+_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_COS = "list_cosine_similarity(embedding::DOUBLE[], q)"
+
+
+@query(f"SELECT vec_id AS id, label, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE {_COS} >= 0 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_topk_cosine(spark, d):
+    rows = _vectors(spark, d)
+    return VS.top_k(rows, _first(rows), 10).select("id", "label", _r("score"))
+
+
+@query(f"SELECT vec_id AS id, round(-list_distance(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {_Q} ORDER BY list_distance(embedding::DOUBLE[], q), vec_id LIMIT 10")
+def vector_topk_l2(spark, d):
+    rows = _vectors(spark, d)
+    return VS.top_k(rows, _first(rows), 10, metric="l2", threshold=None).select("id", _r("score"))
+
+
+@query(f"SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {_Q} ORDER BY list_inner_product(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+def vector_topk_dot(spark, d):
+    rows = _vectors(spark, d)
+    return VS.top_k(rows, _first(rows), 10, metric="dot", threshold=None).select("id", _r("score"))
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE {_COS} >= 0.2")
+def vector_threshold(spark, d):
+    rows = _vectors(spark, d)
+    scored = rows.withColumn("score", V.cosine(F.col("vector"), V.literal(_first(rows))))
+    return scored.where("score >= 0.2").select("id", _r("score"))
+
+
+@query(f"SELECT id, score FROM (SELECT vec_id AS id, label, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE {_COS} >= 0 ORDER BY {_COS} DESC, vec_id LIMIT 20) WHERE label = 3")
+def vector_postfilter(spark, d):
+    rows = _vectors(spark, d)
+    return VS.top_k(rows, _first(rows), 20, where=F.col("label") == 3).select("id", _r("score"))
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE label = 3 AND {_COS} >= 0 ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def vector_prefilter(spark, d):
+    rows = _vectors(spark, d)
+    return VS.top_k(rows, _first(rows), 20, where=F.col("label") == 3, filter_mode="pre").select("id", _r("score"))
+
+
+@query(
+    """SELECT query_id, id, round(s, 6) AS score, rank::INTEGER AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
+    FROM embeddings a, embeddings b WHERE a.label = 0) WHERE rank <= 5"""
+)
+def vector_batch_topk(spark, d):
+    rows = _vectors(spark, d)
+    queries = rows.where("label = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return VS.batch_top_k(rows, queries, 5, blocks=8).select("query_id", "id", _r("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def vector_fetch(spark, d):
+    ids = _table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
+    return VS.fetch(_vectors(spark, d), ids).select("id", "label")
+
+
+@query()
+def ivf_search(spark, d):
+    rows = _vectors(spark, d)
+    centres = VS.centroids(rows)
+    return VS.ivf_search(VS.ivf_index(rows, centres), centres, _first(rows), 10).select("id", _r("score"))
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def ivf_search_all_cells(spark, d):
+    rows = _vectors(spark, d)
+    centres = VS.centroids(rows)
+    return VS.ivf_search(VS.ivf_index(rows, centres), centres, _first(rows), 10, probes=len(centres)).select("id", _r("score"))
+
+
+@query()
+def lsh_search(spark, d):
+    rows = _vectors(spark, d)
+    q = _first(rows)
+    planes = VS.hyperplanes(len(q), planes=8)
+    return VS.lsh_search(rows, VS.lsh_index(rows, planes), planes, q, 10).select("id", _r("score"))
+
+
+@query()
+def multi_index(spark, d):
+    rows = _vectors(spark, d)
+    q = _first(rows)
+    centres = VS.centroids(rows)
+    parts = {"flat": VS.top_k(rows, q, 20, threshold=None), "ivf": VS.ivf_search(VS.ivf_index(rows, centres), centres, q, 20)}
+    return VS.multi_index(parts, 10).select("id", _r("score"))
+
+
+_LOW = "list_min(embedding::DOUBLE[])"
+_HIGH = "list_max(embedding::DOUBLE[])"
+
+
+@query(f"SELECT vec_id AS id, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high, list_sum(list_transform(embedding::DOUBLE[], lambda x: floor((x - {_LOW}) / ({_HIGH} - {_LOW}) * 255)))::BIGINT AS code_sum FROM embeddings")
+def scalar_quantize(spark, d):
+    rows = _vectors(spark, d).withColumn("r", V.scalar_range(F.col("vector")))
+    q = rows.withColumn("q", V.scalar_quantize(F.col("vector"), F.col("r.low"), F.col("r.high")))
+    return q.select("id", F.round("r.low", 6).alias("low"), F.round("r.high", 6).alias("high"), F.aggregate("q", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("code_sum"))
+
+
+_BYTE = " + ".join(f"(CASE WHEN embedding[8 * b + {j + 1}] >= 0 THEN {1 << j} ELSE 0 END)" for j in range(8))
+
+
+@query(f"SELECT vec_id AS id, b::INTEGER AS at, ({_BYTE})::INTEGER AS byte FROM embeddings, range(8) t(b)")
+def binary_quantize(spark, d):
+    rows = _vectors(spark, d).withColumn("q", V.binary_quantize(F.col("vector")))
+    return rows.select("id", F.posexplode("q").alias("at", "byte"))
+
+
+@query()
+def pq_encode(spark, d):
+    rows = _vectors(spark, d)
+    pq = VS.ProductQuantizer(parts=8, codes=16).train(rows)
+    return rows.select("id", pq.encode(F.col("vector")).alias("codes"))
+
+
+# --- filters and aggregates ------------------------------------------------------------------------------
+
+
+def _documents(spark, d):
+    """Documents with the metadata and access lists that stand for an application's."""
+    docs = _table(spark, d, "documents")
+    acl = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("team"), (F.col("doc_id") % 3).cast("string")), "source"))
+    meta = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("lang"), "lang")).otherwise(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), acl.alias("acl"), meta.alias("metadata"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0 AND (doc_id % 3 = 1 OR source = 'src3')")
+def acl_filter(spark, d):
+    return _documents(spark, d).where(VS.acl_filter(F.col("acl"), ["team1", "src3"])).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lang = 'en' AND doc_id % 4 = 0")
+def metadata_equals(spark, d):
+    return _documents(spark, d).where(VS.metadata_filter(F.col("metadata"), {"lang": "en", "source": ""})).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 4 <> 0")
+def metadata_exists(spark, d):
+    return _documents(spark, d).where(VS.metadata_exists(F.col("metadata"), ["lang", "source"])).select("id")
+
+
+_NUM = f"CASE WHEN regexp_matches(v, '{S.NUMBER}') THEN try_cast(v AS DOUBLE) END"
+_AGGS = "count(x) AS count, round(coalesce(sum(x), 0), 4) AS sum, round(coalesce(avg(x), 0), 6) AS avg, coalesce(min(x), 0) AS min, coalesce(max(x), 0) AS max"
+_PROPS = "SELECT event_type, json_extract_string(props, '$.k') AS v FROM events"
+
+
+def _events(spark, d):
+    return _table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
+
+
+@query(f"SELECT {_AGGS} FROM (SELECT {_NUM} AS x FROM ({_PROPS}))")
+def agg_metadata(spark, d):
+    return aggregates.aggregate(_events(spark, d), F.col("k")).select("count", F.round("sum", 4).alias("sum"), _r("avg"), "min", "max")
+
+
+@query(f"SELECT event_type, {_AGGS} FROM (SELECT event_type, {_NUM} AS x FROM ({_PROPS})) WHERE event_type IS NOT NULL GROUP BY event_type")
+def group_agg_metadata(spark, d):
+    out = aggregates.group_aggregate(_events(spark, d), F.col("event_type"), F.col("k"), "event_type")
+    return out.select("event_type", "count", F.round("sum", 4).alias("sum"), _r("avg"), "min", "max")
+
+
+@query("SELECT event_type, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def group_count(spark, d):
+    return aggregates.group_aggregate(_events(spark, d), F.col("event_type"), None, "event_type")
+
+
+_HAV = "2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a))"
+
+
+@query(
+    f"""SELECT id, round(m, 3) AS distance_m FROM (SELECT id, {_HAV} AS m FROM (SELECT id, power(sin(radians(lat - 10) / 2), 2)
+    + cos(radians(10)) * cos(radians(lat)) * power(sin(radians(lon - 20) / 2), 2) AS a
+    FROM (SELECT c_custkey AS id, (c_custkey * 37 % 1700) / 10.0 - 85 AS lat, (c_custkey * 91 % 3600) / 10.0 - 180 AS lon FROM customer))) WHERE m <= 2000000"""
+)
+def geo_radius(spark, d):
+    c = _table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 37 % 1700) / 10.0 - 85).cast("double").alias("lat"), ((F.col("c_custkey") * 91 % 3600) / 10.0 - 180).cast("double").alias("lon")
+    )
+    return aggregates.geo_radius(c, 10.0, 20.0, 2_000_000.0).select("id", _r("distance_m", 3))
+
+
+# --- full text -------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_EXPANDED = ", ".join(f"('{w}', '{x}')" for w in sorted(T.SYNONYMS) + sorted(set(T.SYNONYMS.values())) for x in [w, *T.expand(w)])
+_POSTINGS = f"""kept AS (SELECT id, w FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)
+    WHERE strlen(w) > 1 AND w NOT IN ({_STOP})), same(w, x) AS (VALUES {_EXPANDED}),
+    postings AS (SELECT id, coalesce(x, w) AS term, least(count(*), 255)::INTEGER AS tf FROM kept LEFT JOIN same USING (w) GROUP BY ALL)"""
+_QUERY = "onen tion search code erment"
+
+
+def _terms(q: str) -> str:
+    return ", ".join(f"'{t}'" for t in T.query_tokens(q))
+
+
+def _content(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
+def _bm25(hits: str, name: str = "bm25") -> str:
+    return f"""hits AS ({hits}), df AS (SELECT query_term, count(*) AS df FROM hits GROUP BY query_term),
+    {name} AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2)) AS score FROM hits JOIN df USING (query_term), (SELECT count(*) AS n FROM documents) GROUP BY id)"""
+
+
+_HITS = f"SELECT term AS query_term, id, sum(tf) AS tf FROM postings WHERE term IN ({_terms(_QUERY)}) GROUP BY ALL"
+
+
+@query(f"WITH {_POSTINGS} SELECT id, term, tf FROM postings")
+def fts_postings(spark, d):
+    return fulltext.postings(_content(spark, d))
+
+
+@query(f"WITH {_POSTINGS}, {_bm25(_HITS)} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20")
+def fts_bm25(spark, d):
+    docs = _content(spark, d)
+    return fulltext.search(fulltext.postings(docs), _QUERY, docs.count(), k=20).select("id", _r("score"))
+
+
+@query(f"WITH {_POSTINGS}, {_bm25("SELECT '*' AS query_term, id, sum(tf) AS tf FROM postings WHERE starts_with(term, 'tion') GROUP BY id")} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20")
+def fts_prefix(spark, d):
+    docs = _content(spark, d)
+    return fulltext.search(fulltext.postings(docs), "tion*", docs.count(), k=20).select("id", _r("score"))
+
+
+@query(f"WITH {_POSTINGS} SELECT id, sum(tf)::DOUBLE AS score FROM postings WHERE term IN ('onen', 'reer') GROUP BY id HAVING count(*) = 2 ORDER BY score DESC, id LIMIT 20")
+def fts_phrase(spark, d):
+    docs = _content(spark, d)
+    return fulltext.search(fulltext.postings(docs), '"onen reer"', docs.count(), k=20, is_phrase=True)
+
+
+@query(
+    f"""WITH {_POSTINGS}, near AS (SELECT term FROM (SELECT DISTINCT term FROM postings WHERE regexp_full_match(term, '[a-z0-9_]+')) WHERE levenshtein(term, 'onenr') <= 1),
+    {_bm25("SELECT 'onenr' AS query_term, id, sum(tf) AS tf FROM postings JOIN near USING (term) GROUP BY id")} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20"""
+)
+def fts_fuzzy(spark, d):
+    docs = _content(spark, d)
+    index = fulltext.postings(docs).where(F.col("term").rlike("^[a-z0-9_]+$"))
+    return fulltext.search(index, "onenr", docs.count(), k=20, fuzzy=1).select("id", _r("score"))
+
+
+_VEC = f"vec AS (SELECT vec_id AS id, {_COS} AS score FROM embeddings, {_Q} WHERE {_COS} >= 0 ORDER BY score DESC, id LIMIT 30)"
+_RRF = """ranked AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM vec
+    UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM (SELECT * FROM bm25 ORDER BY score DESC, id LIMIT 30)),
+    fused AS (SELECT id, sum(s) AS score FROM ranked GROUP BY id ORDER BY score DESC, id LIMIT 20)"""
+
+
+def _both(spark, d):
+    rows, docs = _vectors(spark, d), _content(spark, d)
+    return VS.top_k(rows, _first(rows), 30), fulltext.search(fulltext.postings(docs), _QUERY, docs.count(), k=30)
+
+
+@query(f"WITH {_POSTINGS}, {_bm25(_HITS)}, {_VEC}, {_RRF} SELECT id, round(score, 6) AS score FROM fused")
+def hybrid_rrf(spark, d):
+    return fulltext.hybrid(*_both(spark, d), 20).select("id", _r("score"))
+
+
+@query(f"WITH {_POSTINGS}, {_bm25(_HITS)}, {_VEC}, {_RRF} SELECT id, doc_id, round(score, 6) AS score FROM (SELECT id, id % 7 AS doc_id, score, row_number() OVER (PARTITION BY id % 7 ORDER BY score DESC, id) AS r FROM fused) WHERE r <= 2")
+def rrf_per_doc_limit(spark, d):
+    doc_of = _content(spark, d).select("id", (F.col("id") % 7).alias("doc_id"))
+    return fulltext.rrf(list(_both(spark, d)), 20, per_doc=2, doc_of=doc_of).select("id", "doc_id", _r("score"))
+
+
+def _candidates(spark, d):
+    docs = _content(spark, d)
+    return fulltext.search(fulltext.postings(docs), _QUERY, docs.count(), k=30).join(docs, "id")
+
+
+def _rerank_sql() -> str:
+    parts = []
+    for t in ["onen", "tion"]:
+        tf = f"((length(low) - length(replace(low, '{t}', ''))) / {len(t)}::DOUBLE)"
+        n = f"greatest(sum(CASE WHEN {tf} > 0 THEN 1 ELSE 0 END) OVER (), 1)"
+        parts.append(f"ln((count(*) OVER () - {n} + 0.5) / ({n} + 0.5) + 1) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * strlen(text) / avg(strlen(text)) OVER ()))")
+    return " + ".join(parts)
+
+
+@query(
+    f"WITH {_POSTINGS}, {_bm25(_HITS)}, cand AS (SELECT b.id, b.score, text, lower(text) AS low FROM (SELECT * FROM bm25 ORDER BY score DESC, id LIMIT 30) b JOIN documents ON doc_id = b.id) SELECT id, round(0.5 * score + 0.5 * ({_rerank_sql()}), 6) AS score FROM cand"
+)
+def rerank_bm25(spark, d):
+    return fulltext.rerank_bm25(_candidates(spark, d), ["onen", "tion"]).select("id", _r("score"))
+
+
+@query(
+    f"""WITH {_POSTINGS}, {_bm25(_HITS)}, cand AS (SELECT id FROM bm25 ORDER BY bm25.score DESC, id LIMIT 30),
+    sets AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE term IN ({_terms(_QUERY)})) AS c FROM postings JOIN cand USING (id) GROUP BY id)
+    SELECT id, round(c / sqrt({len(T.query_tokens(_QUERY))}::DOUBLE * n), 6) AS score FROM sets"""
+)
+def rerank_cosine(spark, d):
+    return fulltext.rerank_cosine(_candidates(spark, d), _QUERY).select("id", _r("score"))
+
+
+# --- knowledge and memory ---------------------------------------------------------------------------------
+
+
+@query()
+def chunk_stats(spark, d):
+    c = memory.chunks(_content(spark, d))
+    return c.groupBy("knowledge_id").agg(F.count("*").alias("n_chunks"), F.max("end").alias("last_end"))
+
+
+@query()
+def knowledge_search(spark, d):
+    pieces = memory.chunks(_content(spark, d))
+    index = fulltext.postings(pieces.select(F.struct("knowledge_id", "chunk_no").alias("id"), "content"))
+    return memory.search_knowledge(index, pieces, _QUERY, 20)
+
+
+_NOW = "2024-02-01 00:00:00"
+_MEM = f"""mem AS (SELECT event_id AS id, event_type || ' note' AS content, value / 100 AS importance, greatest(0, (epoch(TIMESTAMP '{_NOW}') - epoch(ts)) / 3600) AS hours,
+    [value, 10.0] AS v, CASE WHEN event_id % 3 = 0 THEN epoch(ts) + 86400 * 20 END AS expires FROM events WHERE user_id % 10 = 1)"""
+
+
+def _memories(spark, d):
+    e = _table(spark, d, "events").where("user_id % 10 = 1").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.concat("event_type", F.lit(" note")).alias("content"),
+        (F.col("value") / 100).alias("importance"),
+        F.col("ts").alias("updated_at"),
+        F.col("ts").alias("created_at"),
+        F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("interval 20 days")).alias("expires_at"),
+        F.array("value", F.lit(10.0)).alias("vector"),
+    )
+
+
+def _now():
+    return F.lit(_NOW).cast("timestamp")
+
+
+@query(
+    f"""WITH {_MEM}, sem AS (SELECT id, list_cosine_similarity(v, [30.0, 10.0]) AS semantic FROM mem WHERE list_cosine_similarity(v, [30.0, 10.0]) > 0 ORDER BY semantic DESC, id LIMIT 80),
+    tf AS (SELECT id FROM mem WHERE contains(content, 'click')), n AS (SELECT (SELECT count(*) FROM mem) AS n, (SELECT count(*) FROM tf) AS df),
+    lex AS (SELECT id, 1.0::DOUBLE AS lexical FROM tf),
+    j AS (SELECT coalesce(sem.id, lex.id) AS id, coalesce(semantic, 0) AS semantic, coalesce(lexical, 0) AS lexical FROM sem FULL JOIN lex ON sem.id = lex.id)
+    SELECT id, round(0.6 * semantic + 0.25 * lexical + 0.1 * greatest(0, least(1, importance)) + 0.05 / (1 + hours / 168), 6) AS score
+    FROM j JOIN mem USING (id) WHERE expires IS NULL OR expires >= epoch(TIMESTAMP '{_NOW}')
+    ORDER BY 0.6 * semantic + 0.25 * lexical + 0.1 * greatest(0, least(1, importance)) + 0.05 / (1 + hours / 168) DESC, id LIMIT 20"""
+)
+def memory_search(spark, d):
+    return memory.search_memory(_memories(spark, d), _now(), query="click", vector=[30.0, 10.0], k=20).select("id", _r("score"))
+
+
+@query(f"WITH {_MEM} SELECT id FROM mem WHERE expires IS NULL OR expires >= epoch(TIMESTAMP '{_NOW}')")
+def memory_ttl(spark, d):
+    return memory.sweep(_memories(spark, d), _now()).select("id")
+
+
+@query("SELECT event_id AS id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_wins(spark, d):
+    e = _table(spark, d, "events")
+    order = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return e.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(F.col("event_id").alias("id"), "user_id")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
+def session_history(spark, d):
+    return memory.history(_table(spark, d, "conversations"), 3, "conv_id", ["turn"]).select("conv_id", "turn", "role")
+
+
+@query()
+def transcript_exchanges(spark, d):
+    return memory.exchanges(_table(spark, d, "conversations"), "conv_id", "turn")
+
+
+def _classify_sql() -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(low, '{c}')" for c in cues)} THEN '{kind}'" for kind, cues in T.SENTENCE_KINDS.items()) + " ELSE 'note' END"
+
+
+_SENTENCES = "SELECT {k} AS k, trim(unnest(string_split_regex(replace(coalesce(text, ''), chr(10), ' '), '[.!?]'))) AS sentence FROM {t}"
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT {_classify_sql()} AS kind FROM (SELECT lower(sentence) AS low FROM ({_SENTENCES.format(k='doc_id', t='documents')}) WHERE sentence <> '')) GROUP BY kind")
+def classify_sentences(spark, d):
+    s = _table(spark, d, "documents").select(F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    return s.select(T.classify_sentence(F.col("sentence")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH s AS (SELECT k AS doc_id, sentence, lower(sentence) AS low FROM ({_SENTENCES.format(k="doc_id", t="documents")}) WHERE sentence <> '')
+    SELECT doc_id, kind, min(sentence) AS sentence, left(sha256(kind || '|' || low), 16) AS fact_id FROM (SELECT *, {_classify_sql()} AS kind FROM s) WHERE kind <> 'note' GROUP BY doc_id, kind, low"""
+)
+def fact_promotion(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return memory.facts(docs, "doc_id")
+
+
+@query(
+    """WITH m AS (SELECT *, sum(CASE WHEN role IN ('user', 'assistant') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS c,
+    list('[' || role || '] ' || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS w FROM conversations)
+    SELECT conv_id AS session_id, turn AS "at", len(w)::INTEGER AS n, array_to_string(w, chr(10)) AS content FROM m WHERE role IN ('user', 'assistant') AND c % 2 = 0"""
+)
+def auto_retain(spark, d):
+    m = _table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+    return retention.auto_retain(m)
+
+
+# --- graph ------------------------------------------------------------------------------------------------
+
+_EDGES = """edges AS (SELECT 'n' || n_nationkey AS from_id, 'r' || n_regionkey AS to_id, 'in_region' AS type, 'nr' || n_nationkey AS id FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'in_nation', 'cn' || c_custkey FROM customer
+    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'in_nation', 'sn' || s_suppkey FROM supplier
+    UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'placed_by', 'oc' || o_orderkey FROM orders)"""
+_BOTH = "hop AS (SELECT from_id AS a, to_id AS b FROM edges UNION SELECT to_id, from_id FROM edges)"
+
+
+def _edges(spark, d):
+    def part(table, a, ka, b, kb, kind):
+        t = _table(spark, d, table)
+        key = t[ka].cast("string")
+        return t.select(F.concat(F.lit(a), key).alias("from_id"), F.concat(F.lit(b), t[kb].cast("string")).alias("to_id"), F.lit(kind).alias("type"), F.concat(F.lit(a + b), key).alias("id"))
+
+    out = part("nation", "n", "n_nationkey", "r", "n_regionkey", "in_region").unionByName(part("customer", "c", "c_custkey", "n", "c_nationkey", "in_nation"))
+    return out.unionByName(part("supplier", "s", "s_suppkey", "n", "s_nationkey", "in_nation")).unionByName(part("orders", "o", "o_orderkey", "c", "o_custkey", "placed_by"))
+
+
+def _nodes(spark, d):
+    e = _edges(spark, d)
+    ids = e.select(F.col("from_id").alias("id")).unionByName(e.select(F.col("to_id").alias("id"))).distinct()
+    return ids.withColumn("type", F.substring("id", 1, 1))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, id FROM (SELECT to_id AS src, from_id AS dst, id, row_number() OVER (PARTITION BY to_id ORDER BY type, id) AS r FROM edges WHERE to_id LIKE 'n%') WHERE r <= 5")
+def graph_neighbors(spark, d):
+    start = _nodes(spark, d).where("type = 'n'")
+    return graph.neighbors(_edges(spark, d), start, "in", limit=5).select("src", "dst", "id")
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, {_BOTH}, walk AS (SELECT 'r0' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN hop ON a = walk.id WHERE depth < 3)
+    SELECT id, min(depth)::INTEGER AS depth FROM walk WHERE id <> 'r0' GROUP BY id"""
+)
+def graph_bfs(spark, d):
+    return graph.bfs(_edges(spark, d), ["r0"], 3, "both")
+
+
+@query(f"WITH {_EDGES}, path AS (SELECT o.from_id AS a, o.to_id AS b, c.to_id AS e, n.to_id AS f FROM edges o JOIN edges c ON o.to_id = c.from_id JOIN edges n ON c.to_id = n.from_id WHERE o.from_id = 'o7') SELECT unnest(range(4))::INTEGER AS at, unnest([a, b, e, f]) AS id FROM path")
+def graph_shortest_path(spark, d):
+    o = _table(spark, d, "orders").where("o_orderkey = 7").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()
+    found = graph.shortest_path(_edges(spark, d), "o7", f"r{o['n_regionkey']}")
+    return spark.createDataFrame(list(enumerate(found[0])), "at int, id string")
+
+
+@query()
+def graph_dfs(spark, d):
+    return spark.createDataFrame(list(enumerate(graph.dfs(_edges(spark, d), "o7", 3))), "at int, id string")
+
+
+@query(
+    f"""WITH {_EDGES}, ends AS (SELECT from_id AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT to_id, 1, 0 FROM edges)
+    SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM ends GROUP BY id ORDER BY degree DESC, id LIMIT 10"""
+)
+def graph_top_degree(spark, d):
+    return graph.degrees(_edges(spark, d)).orderBy(F.desc("degree"), "id").limit(10)
+
+
+@query(f"WITH {_EDGES}, n AS (SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges) SELECT nn AS n_nodes, ne AS n_edges, round(2.0 * ne / (nn::DOUBLE * (nn - 1)), 9) AS density, 0::BIGINT AS isolated FROM (SELECT count(*) AS nn FROM n), (SELECT count(*) AS ne FROM edges)")
+def graph_analyze(spark, d):
+    return graph.analyze(_nodes(spark, d), _edges(spark, d)).select("n_nodes", "n_edges", _r("density", 9), "isolated")
+
+
+@query(f"WITH {_EDGES}, n AS (SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges) SELECT id[1] AS type, count(*) AS n FROM n GROUP BY 1")
+def graph_type_counts(spark, d):
+    return graph.type_counts(_nodes(spark, d))
+
+
+_STRIPPED = r"""regexp_replace(regexp_replace(word, '^[.,!?;:"''()\[\]{}]+', ''), '[.,!?;:"''()\[\]{}]+$', '')"""
+_WORDS = f"""words AS (SELECT doc_id, pos, word, {_STRIPPED} AS name FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM
+    (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\s+') AS w FROM documents)) WHERE word <> '')"""
+_OPENS = "strlen(word) > 2 AND regexp_matches(word, '^[A-Z]') AND strlen(name) >= 2"
+
+
+@query(f"WITH {_WORDS} SELECT name, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM words WHERE {_OPENS} GROUP BY name")
+def entity_mentions(spark, d):
+    m = graph.extract_mentions(_table(spark, d, "documents"))
+    return m.groupBy("name").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(
+    f"""WITH {_WORDS}, known AS (SELECT *, max(CASE WHEN {_OPENS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, name) AS k FROM words),
+    nodes AS (SELECT doc_id, pos, CASE WHEN k = 1 THEN 'node:' || lower(name) END AS node FROM known),
+    pairs AS (SELECT doc_id, node AS to_id, lag(node) OVER (PARTITION BY doc_id ORDER BY pos) AS from_id FROM nodes)
+    SELECT doc_id, from_id, to_id, count(*) AS weight FROM pairs WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id GROUP BY ALL"""
+)
+def co_occurrence(spark, d):
+    return graph.co_occurrence(_table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][A-Za-z0-9_-]{1,}\\b'))) AS name FROM documents WHERE lang = 'en'")
+def entity_names(spark, d):
+    return _table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(T.entity_names(F.col("text"))).alias("name"))
+
+
+# --- triples ----------------------------------------------------------------------------------------------
+
+_EX = "http://example.org/"
+_TRIPLES = f"""t AS (SELECT '{_EX}nation' || n_nationkey AS s, '{triples.SUB_CLASS}' AS p, '{_EX}region' || n_regionkey AS o, 'iri' AS kind_o FROM nation
+    UNION ALL SELECT '{_EX}customer' || c_custkey, '{triples.TYPE}', '{_EX}nation' || c_nationkey, 'iri' FROM customer
+    UNION ALL SELECT '{_EX}customer' || c_custkey, '{_EX}segment', c_mktsegment, 'literal' FROM customer)"""
+
+
+def _triples(spark, d):
+    n, c = _table(spark, d, "nation"), _table(spark, d, "customer")
+    null, string = F.lit(None).cast("string"), lambda x: F.col(x).cast("string")
+
+    def rows(t, s, p, o, kind):
+        return t.select(
+            s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("kind_o"), null.alias("datatype"), null.alias("language"), null.alias("graph"), F.lit(False).alias("inferred")
+        )
+
+    who = F.concat(F.lit(_EX + "customer"), string("c_custkey"))
+    out = rows(n, F.concat(F.lit(_EX + "nation"), string("n_nationkey")), triples.SUB_CLASS, F.concat(F.lit(_EX + "region"), string("n_regionkey")), "iri")
+    out = out.unionByName(rows(c, who, triples.TYPE, F.concat(F.lit(_EX + "nation"), string("c_nationkey")), "iri"))
+    return out.unionByName(rows(c, who, _EX + "segment", F.col("c_mktsegment"), "literal"))
+
+
+@query(f"WITH {_TRIPLES} SELECT s, o FROM t WHERE p = '{_EX}segment' AND o = 'BUILDING' AND kind_o = 'literal'")
+def rdf_pattern(spark, d):
+    return triples.match(_triples(spark, d), p=_EX + "segment", o="BUILDING", kind="literal").select("s", "o")
+
+
+@query(f"WITH {_TRIPLES} SELECT a.s AS c, b.o AS r FROM t a JOIN t b ON a.o = b.s JOIN t x ON x.s = a.s WHERE a.p = '{triples.TYPE}' AND b.p = '{triples.SUB_CLASS}' AND x.p = '{_EX}segment' AND x.o = 'MACHINERY'")
+def sparql_bgp(spark, d):
+    q = f'PREFIX ex: <{_EX}> SELECT ?c ?r WHERE {{ ?c a ?n ; ex:segment "MACHINERY" . ?n rdfs:subClassOf ?r . }}'
+    return triples.sparql(_triples(spark, d), q)
+
+
+@query(f"WITH {_TRIPLES} SELECT count(*) > 0 AS ask FROM t WHERE o = '{_EX}region1'")
+def sparql_ask(spark, d):
+    return triples.sparql(_triples(spark, d), f"ASK {{ ?n rdfs:subClassOf <{_EX}region1> }}")
+
+
+@query(f"WITH {_TRIPLES} SELECT DISTINCT a.s, a.p, b.o FROM t a JOIN t b ON a.o = b.s WHERE a.p = '{triples.TYPE}' AND b.p = '{triples.SUB_CLASS}'")
+def rdfs_infer(spark, d):
+    return triples.rdfs_infer(_triples(spark, d))
+
+
+@query(f"WITH {_TRIPLES} SELECT s AS node, 'pattern' AS rule, o AS value FROM t WHERE p = '{_EX}segment' AND NOT contains(o, 'I') AND s IN (SELECT s FROM t WHERE p = '{triples.TYPE}' AND o = '{_EX}nation3')")
+def shacl_validate(spark, d):
+    shape = triples.Ontology(spark).define_shape(_EX + "shape", _EX + "nation3", [{"path": _EX + "segment", "pattern": "I", "minCount": 1}]).triples()
+    return triples.shacl_validate(_triples(spark, d).unionByName(shape)).select("node", "rule", "value")
+
+
+@query(f"WITH {_TRIPLES} SELECT s, left(sha256(s || '|' || p || '|' || o), 16) AS id FROM t")
+def triple_ids(spark, d):
+    return triples.with_id(_triples(spark, d)).select("s", "id")
+
+
+@query(f"""WITH {_TRIPLES} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN kind_o = 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END || ' .' AS value FROM t""")
+def ntriples_round_trip(spark, d):
+    return triples.format_ntriples(triples.parse_ntriples(triples.format_ntriples(_triples(spark, d))))
+
+
+# --- routing ----------------------------------------------------------------------------------------------
+
+_ROUTES = [("places", 0, "the nation of the region"), ("things", 1, "onen reer tion thing"), ("people", 2, "customer and supplier of it")]
+
+
+def _routes(spark):
+    return spark.createDataFrame(_ROUTES, "route string, place int, utterance string")
+
+
+_ROUTE_VALUES = ", ".join(f"('{r}', {p}, list_distinct(regexp_extract_all('{u}', '[a-z0-9]+')))" for r, p, u in _ROUTES)
+
+
+@query(
+    f"""WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), r(route, place, u) AS (VALUES {_ROUTE_VALUES}),
+    s AS (SELECT query_id, route, place, len(list_intersect(q, u))::DOUBLE / (len(q) + len(u) - len(list_intersect(q, u))) AS s FROM q, r)
+    SELECT query_id, route, round(s, 6) AS score, s >= 0.3 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, place) AS n FROM s) WHERE n = 1"""
+)
+def route_lexical(spark, d):
+    q = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return routing.lexical(q, _routes(spark)).select("query_id", "route", _r("score"), "matched")
+
+
+@query(
+    """WITH r AS (SELECT 'label' || label AS route, label AS place, embedding AS u FROM embeddings WHERE vec_id < 20),
+    s AS (SELECT vec_id AS query_id, route, place, greatest(max(list_cosine_similarity(embedding::DOUBLE[], u::DOUBLE[])), 0) AS s FROM embeddings, r GROUP BY ALL)
+    SELECT query_id, route, round(s, 6) AS score, s >= 0.75 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, place) AS n FROM s) WHERE n = 1"""
+)
+def route_semantic(spark, d):
+    rows = _vectors(spark, d)
+    routes = rows.where("id < 20").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("route"), F.col("label").alias("place"), "vector")
+    return routing.semantic(rows.select(F.col("id").alias("query_id"), "vector"), routes).select("query_id", "route", _r("score"), "matched")
+
+
+@query()
+def route_hybrid(spark, d):
+    rows = _vectors(spark, d).where("id < 40")
+    q = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    routes = rows.where("id < 3").join(_routes(spark).withColumnRenamed("place", "id"), "id").select("route", F.col("id").alias("place"), "vector")
+    return routing.hybrid(routing.semantic(rows.select(F.col("id").alias("query_id"), "vector"), routes), routing.lexical(q, _routes(spark))).select("query_id", "route", _r("score"), "matched")
