@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -66,3 +67,18 @@ def text_input(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
 def text_key(text_column: str = "text") -> F.Column:
     """A 64-bit identity of a text; null and empty texts share one."""
     return F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+
+
+#: Columns that operators know by name; a stage sees any other under a name of its position.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def any_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that keeps all columns of its input, whatever names the extra ones have."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        return stage(docs.toDF(*[n if n in KNOWN else f"c{i}__" for i, n in enumerate(names)]), *args, **kwargs).toDF(*names)
+
+    return run

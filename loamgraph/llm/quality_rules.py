@@ -3,7 +3,8 @@
 A word becomes a token: its shape (letters, capitals, digits and letters beyond ASCII as one class
 each, every run as one; other bytes as they are), marked where the word repeats the one before
 it.  The 1-, 2- and 3-grams of a document's tokens are hashed to BUCKETS.  Two multinomials
-are estimated with add-one smoothing: the raw one over all documents, the target one over at
+are estimated, the raw one with add-one smoothing over all documents, the target one, which
+starts from PRIOR n-grams in the raw one's shares, over at
 most TRUSTED_DOCS documents that `labels` trusts (quality 1 in all of a document's labels; those
 with the smallest hash of doc_id).  A document's score is the mean over its n-grams of
 log(p_target / p_raw); it is kept where that is at least THRESHOLD nats per n-gram.
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import documents, text_input
+from loamgraph.llm._spark import any_columns, documents, text_input
 from loamgraph.llm._text import byte_table, chunks, lower_bytes, segment_hash, text_of, window_hashes, word_hashes, words
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 TRUSTED_DOCS = 20_000
-THRESHOLD = -0.25
+THRESHOLD = -1.0
+#: N-grams of the raw distribution that the target one starts from.
+PRIOR = 1_000.0
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = 97
@@ -100,7 +103,8 @@ def ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS) -> np.n
     target[rows["bucket"]] = rows["target"]
     if not target.any():
         return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    r = (raw + 1) / (raw.sum() + BUCKETS)
+    return np.log((target + PRIOR * r) / (target.sum() + PRIOR)) - np.log(r)
 
 
 def score_texts(data: np.ndarray, off: np.ndarray, llr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +143,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return _apply(docs, labels, ["doc_id"], False, threshold)
 
 
+@any_columns
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that reach the threshold, all columns kept."""
     return _apply(docs, labels, docs.columns, True, threshold)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import cut, documents, scratch, text_input, text_key
+from loamgraph.llm._spark import any_columns, cut, documents, scratch, text_input, text_key
 from loamgraph.llm._text import chunks, lower_bytes, mix, text_of, word_hashes, words
 
 #: Differing bits of the searched fingerprint, and of the second, that a near copy may have.
@@ -391,6 +391,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY_
     return groups(docs, radius, verify, parts).select("doc_id", "group_id", "keep", "group_size")
 
 
+@any_columns
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY_RADIUS, parts: int = PARTITIONS) -> DataFrame:
     """The documents, all columns kept, with one row of each group."""
     g = groups(docs, radius, verify, parts).select(F.col("doc_id").alias("_g_id"), F.col("k").alias("_g_k"), F.col("keep").alias("_g_keep"))

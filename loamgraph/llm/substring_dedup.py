@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import cut, documents, scratch, text_input, text_key
+from loamgraph.llm._spark import any_columns, cut, documents, scratch, text_input, text_key
 from loamgraph.llm._text import chunks, segment_hash, window_hashes, word_hashes, words
 
 #: Words of a passage that is to be found.
@@ -260,6 +260,7 @@ def _cut_batches(columns: list[str]):
     return run
 
 
+@any_columns
 def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns kept, without the removed passages; n_chars, where there is such
     a column, follows the text.  A document of which no word is left goes; rows repeating a

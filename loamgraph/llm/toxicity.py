@@ -58,7 +58,7 @@ _AIM = "you your youre you're u ur he she they tu vous du ihr sie usted eres"
 CORRELATED = 0.1
 LABELLED = 10_000
 MIN_FOUND = 6
-CLEAN_SHARE = 0.02
+CLEAN_SHARE = 0.01
 TRAIN_DOCS = 1_500
 FEATURES = 4096
 TOXIC = 0.5
@@ -237,6 +237,7 @@ class LabelModel:
     """P(toxic | votes) by EM over counted rows of votes."""
 
     def __init__(self, v: np.ndarray, n: np.ndarray, rounds: int = 60):
+        n = np.where((v >= 0).any(1), n, 0)  # texts that no voter spoke of teach nothing
         self.share = np.ones(v.shape[1])
         self._fit(v, n, rounds)
         self.correlation = self._left_over(v, n)
@@ -249,7 +250,7 @@ class LabelModel:
         p = np.clip((v == 1).sum(1) / 2, 0.001, 0.999)
         for _ in range(rounds):
             w1, w0 = n * p, n * (1 - p)
-            self.prior = float(np.clip(w1.sum() / n.sum(), 1e-6, 0.5))
+            self.prior = float(np.clip(w1.sum() / n.sum(), 1e-6, 0.49))
             logit = np.full(len(n), np.log(self.prior / (1 - self.prior)))
             for j in range(v.shape[1]):
                 a = (np.bincount(v[:, j] + 1, weights=w1, minlength=3) + 0.1) / (w1.sum() + 0.3)
@@ -258,6 +259,7 @@ class LabelModel:
                 ratio[2] = max(ratio[2], 0)  # a voter is no worse than chance
                 logit += ratio[v[:, j] + 1]
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            p = np.where((v == 1).any(1), p, np.minimum(p, self.prior))  # without a toxic vote nothing is
         self.p = p
 
     def _accuracies(self, v: np.ndarray, n: np.ndarray) -> np.ndarray:
