@@ -31,14 +31,17 @@ def matches(index: DataFrame, terms: list[str], fuzzy: int = 0) -> DataFrame:
 
 
 def bm25(index: DataFrame, terms: list[str], n_docs: int | Column, *, k: int | None = None, fuzzy: int = 0) -> DataFrame:
-    """(id, score), best first.  The length norm is constant, so a term gives idf * 2.2 tf / (tf + 1.2)."""
+    """(id, score), best first.  The length norm is constant, so a term gives idf * 2.2 tf / (tf + 1.2).
+
+    Scores have 9 digits, so that equal ones stay equal in whatever order they are summed.
+    """
     m = matches(index, terms, fuzzy)
     df = m.groupBy("query_term").agg(F.count("*").alias("df"))
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     # one row for each term of the query
     idf = df.select("query_term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     part = F.col("idf") * (F.col("tf") * 2.2) / (F.col("tf") + 1.2)
-    out = m.join(F.broadcast(idf), "query_term").groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id")
+    out = m.join(F.broadcast(idf), "query_term").groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).orderBy(F.desc("score"), "id")
     return out if k is None else out.limit(k)
 
 

@@ -251,7 +251,7 @@ def _content(spark, d):
 
 def _bm25(hits: str, name: str = "bm25") -> str:
     return f"""hits AS ({hits}), df AS (SELECT query_term, count(*) AS df FROM hits GROUP BY query_term),
-    {name} AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2)) AS score FROM hits JOIN df USING (query_term), (SELECT count(*) AS n FROM documents) GROUP BY id)"""
+    {name} AS (SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2)), 9) AS score FROM hits JOIN df USING (query_term), (SELECT count(*) AS n FROM documents) GROUP BY id)"""
 
 
 _HITS = f"SELECT term AS query_term, id, sum(tf) AS tf FROM postings WHERE term IN ({_terms(_QUERY)}) GROUP BY ALL"
@@ -359,8 +359,8 @@ def knowledge_search(spark, d):
 
 
 _NOW = "2024-02-01 00:00:00"
-_MEM = f"""mem AS (SELECT event_id AS id, event_type || ' note' AS content, value / 100 AS importance, greatest(0, (epoch(TIMESTAMP '{_NOW}') - epoch(ts)) / 3600) AS hours,
-    [value, 10.0] AS v, CASE WHEN event_id % 3 = 0 THEN epoch(ts) + 86400 * 20 END AS expires FROM events WHERE user_id % 10 = 1)"""
+_MEM = f"""mem AS (SELECT event_id AS id, event_type || ' note' AS content, coalesce(value, 0) / 100 AS importance, greatest(0, (epoch(TIMESTAMP '{_NOW}') - epoch(ts)) / 3600) AS hours,
+    [coalesce(value, 0), 10.0] AS v, CASE WHEN event_id % 3 = 0 THEN epoch(ts) + 86400 * 20 END AS expires FROM events WHERE user_id % 10 = 1)"""
 
 
 def _memories(spark, d):
@@ -368,11 +368,11 @@ def _memories(spark, d):
     return e.select(
         F.col("event_id").alias("id"),
         F.concat("event_type", F.lit(" note")).alias("content"),
-        (F.col("value") / 100).alias("importance"),
+        (F.coalesce("value", F.lit(0.0)) / 100).alias("importance"),
         F.col("ts").alias("updated_at"),
         F.col("ts").alias("created_at"),
         F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("interval 20 days")).alias("expires_at"),
-        F.array("value", F.lit(10.0)).alias("vector"),
+        F.array(F.coalesce("value", F.lit(0.0)), F.lit(10.0)).alias("vector"),
     )
 
 
