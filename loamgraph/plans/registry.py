@@ -306,7 +306,7 @@ def hybrid_rrf(spark, d):
     return fulltext.hybrid(*_both(spark, d), 20).select("id", _r("score"))
 
 
-@query(f"WITH {_POSTINGS}, {_bm25(_HITS)}, {_VEC}, {_RRF} SELECT id, doc_id, round(score, 6) AS score FROM (SELECT id, id % 7 AS doc_id, score, row_number() OVER (PARTITION BY id % 7 ORDER BY score DESC, id) AS r FROM fused) WHERE r <= 2")
+@query(f"WITH {_POSTINGS}, {_bm25(_HITS)}, {_VEC}, {_RRF} SELECT id, doc_id, round(score, 6) AS score FROM (SELECT id, id % 7 AS doc_id, score, row_number() OVER (PARTITION BY id % 7 ORDER BY score DESC, id) AS r FROM fused WHERE id IN (SELECT doc_id FROM documents)) WHERE r <= 2")
 def rrf_per_doc_limit(spark, d):
     doc_of = _content(spark, d).select("id", (F.col("id") % 7).alias("doc_id"))
     return fulltext.rrf(list(_both(spark, d)), 20, per_doc=2, doc_of=doc_of).select("id", "doc_id", _r("score"))
@@ -360,7 +360,7 @@ def knowledge_search(spark, d):
 
 _NOW = "2024-02-01 00:00:00"
 _MEM = f"""mem AS (SELECT event_id AS id, event_type || ' note' AS content, coalesce(value, 0) / 100 AS importance, greatest(0, (epoch(TIMESTAMP '{_NOW}') - epoch(ts)) / 3600) AS hours,
-    [coalesce(value, 0), 10.0] AS v, CASE WHEN event_id % 3 = 0 THEN epoch(ts) + 86400 * 20 END AS expires FROM events WHERE user_id % 10 = 1)"""
+    coalesce(value, 0)::DOUBLE AS v, CASE WHEN event_id % 3 = 0 THEN epoch(ts) + 86400 * 20 END AS expires FROM events WHERE user_id % 10 = 1)"""
 
 
 def _memories(spark, d):
@@ -381,7 +381,7 @@ def _now():
 
 
 @query(
-    f"""WITH {_MEM}, sem AS (SELECT id, list_cosine_similarity(v, [30.0, 10.0]) AS semantic FROM mem WHERE list_cosine_similarity(v, [30.0, 10.0]) > 0 ORDER BY semantic DESC, id LIMIT 80),
+    f"""WITH {_MEM}, sem AS (SELECT id, (30 * v + 100) / (sqrt(v * v + 100) * sqrt(1000)) AS semantic FROM mem WHERE 30 * v + 100 > 0 ORDER BY semantic DESC, id LIMIT 80),
     tf AS (SELECT id FROM mem WHERE contains(content, 'click')), n AS (SELECT (SELECT count(*) FROM mem) AS n, (SELECT count(*) FROM tf) AS df),
     lex AS (SELECT id, 1.0::DOUBLE AS lexical FROM tf),
     j AS (SELECT coalesce(sem.id, lex.id) AS id, coalesce(semantic, 0) AS semantic, coalesce(lexical, 0) AS lexical FROM sem FULL JOIN lex ON sem.id = lex.id)
