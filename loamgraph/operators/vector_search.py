@@ -6,10 +6,11 @@ probes and no others.  Every order ends in the id, so that ties have one result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,12 +103,105 @@ def ivf_index(rows: DataFrame, centres: np.ndarray, vector_col: str = "vector")
     return rows.withColumn("cell", nearest_centroid(F.col(vector_col), centres) if len(centres) else F.lit(0))
 
 
-def ivf_search(index: DataFrame, centres: np.ndarray, query: Sequence[float], k: int, probes: int = 3, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """Best k by cosine within the nearest cells; all cells are the exact result."""
+#: Share of the true k best that an index has to find, measured when it is searched without a setting of its own.
+RECALL = 0.95
+
+
+def _sampled(rows: DataFrame, k: int, id_col: str, vector_col: str, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Up to SEED_ROWS vectors, and for each of them the places of its k best by cosine among these."""
+    sample = rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(SEED_ROWS).select(vector_col).collect()
+    x = np.array([r[0] for r in sample], float)
+    if not len(x):
+        return x, np.zeros((0, 0), int)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    return x, np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :k]
+
+
+def _least(needed: np.ndarray, most: int, recall: float) -> int:
+    """The smallest setting that reaches the recall; `needed` is the setting at which each true neighbour is found."""
+    return next((n for n in range(most) if (needed <= n).mean() >= recall), most) if needed.size else most
+
+
+def ivf_probes(rows: DataFrame, centres: np.ndarray, k: int, recall: float = RECALL, id_col: str = "id", vector_col: str = "vector") -> int:
+    """Nearest cells to read so that the sampled rows find that share of their true k best."""
+    x, best = _sampled(rows, k, id_col, vector_col)
+    if not len(x) or not len(centres):
+        return 1
+    near = np.argsort(((x[:, None] - centres[None]) ** 2).sum(-1), axis=1, kind="stable")
+    place = np.argsort(near, axis=1)  # of each cell in the row's order
+    return _least(np.take_along_axis(place, near[best, 0], 1) + 1, len(centres), recall)
+
+
+def ivf_search(index: DataFrame, centres: np.ndarray, query: Sequence[float], k: int, probes: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """Best k by cosine within the nearest cells, as many as RECALL needs; all cells are the exact result."""
+    if probes is None:
+        probes = ivf_probes(index, centres, k, id_col=id_col, vector_col=vector_col)
     near = np.argsort(np.linalg.norm(centres - np.array(query), axis=1), kind="stable")[:probes].tolist() if len(centres) else [0]
     return top_k(index.where(F.col("cell").isin(near)), query, k, threshold=None, id_col=id_col, vector_col=vector_col)
 
 
+#: Rows, and queries, that are compared at once.
+BLOCK = 2048
+
+
+def _best_of(rows: DataFrame, queries: DataFrame, k: int, match: Callable[[np.ndarray, np.ndarray], np.ndarray], fallback: bool) -> DataFrame:
+    """(query_id, id, score, rank): the k best by cosine of each query among the rows whose keys match its own.
+
+    Rows are (id, vector, keys), queries (query_id, query, keys); match takes the keys of queries and rows as
+    matrices and gives their pairs.  With `fallback` a query that no row matches is compared with all.  Blocks
+    of rows meet blocks of queries, and of every meeting only the k best of each query go on.
+    """
+    rows, queries = rows.select("id", "vector", "keys"), queries.select("query_id", "query", "keys")
+    n, m = (-(-max(x.count(), 1) // BLOCK) for x in (rows, queries))
+    part = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    r = rows.withColumn("rb", part("id", n)).withColumn("qb", every(m))
+    q = queries.withColumn("qb", part("query_id", m)).withColumn("rb", every(n))
+    kinds = [pa.int64() if dict(t.dtypes)[c] == "bigint" else pa.int32() if dict(t.dtypes)[c] == "int" else pa.string() for t, c in ((queries, "query_id"), (rows, "id"))]
+
+    def unit(v: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(v.to_pylist(), float)
+        size = np.linalg.norm(x, axis=1)[:, None]
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        out: list[pa.Array] = []
+        if q.num_rows and r.num_rows:
+            r = r.sort_by("id")  # a stable order below then ends in the id
+            score = np.round(unit(q["query"]) @ unit(r["vector"]).T, 12)
+            hit = match(np.array(q["keys"].to_pylist()), np.array(r["keys"].to_pylist()))
+            any_hit = hit.any(1)
+            score = np.where(hit | (~any_hit & fallback)[:, None], score, -np.inf)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            s = np.take_along_axis(score, best, 1)
+            i, j = np.nonzero(s > -np.inf)
+            out = [q["query_id"].take(pa.array(i)), r["id"].take(pa.array(best[i, j])), pa.array(s[i, j]), pa.array(any_hit[i])]
+        return pa.table(dict(zip(("query_id", "id", "score", "hit"), out or [pa.array([], t) for t in (*kinds, pa.float64(), pa.bool_())], strict=True)))
+
+    types = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double, hit boolean"
+    local = q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInArrow(meet, types)
+    ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("hit"), F.desc("score"), "id")))
+    first = ranked.withColumn("_any", F.max("hit").over(W.partitionBy("query_id")))
+    return first.where((F.col("rank") <= k) & (F.col("hit") == F.col("_any"))).select("query_id", "id", "score", "rank")
+
+
+def ivf_batch(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """ivf_search for every query at once; rows are (id, vector, cell), queries (query_id, query)."""
+    if probes is None:
+        probes = ivf_probes(index, centres, k)
+    q, r = queries.withColumn("keys", F.array(F.lit(0))), index.withColumn("keys", F.array("cell"))
+    if len(centres):
+        d = F.array(*[F.struct(V.euclidean(F.col("query"), V.literal(c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
+        q = queries.withColumn("keys", F.slice(F.array_sort(d), 1, probes)["cell"])
+
+    def match(near: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        read = np.zeros((len(near), max(len(centres), 1)), bool)
+        np.put_along_axis(read, near, True, 1)
+        return read[:, cell[:, 0]]
+
+    return _best_of(r, q, k, match, False)
+
+
 def hyperplanes(dim: int, planes: int = 16, tables: int = 4, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, planes, dim))
 
@@ -126,26 +220,61 @@ def lsh_index(rows: DataFrame, planes: np.ndarray, id_col: str = "id", vector_co
     return rows.select(id_col, F.posexplode(lsh_codes(F.col(vector_col), planes)).alias("tab", "code"))
 
 
-def lsh_search(rows: DataFrame, index: DataFrame, planes: np.ndarray, query: Sequence[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """Best k by cosine among rows that share a code with the query; among all rows if none does."""
-    code = ((planes @ np.array(query, float)) >= 0) @ (1 << np.arange(planes.shape[1]))
+def _codes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Sign-bit codes (rows, tables)."""
+    return ((x @ planes.transpose(0, 2, 1)) >= 0).transpose(1, 0, 2) @ (1 << np.arange(planes.shape[1]))
+
+
+def lsh_radius(rows: DataFrame, planes: np.ndarray, k: int, recall: float = RECALL, id_col: str = "id", vector_col: str = "vector") -> int:
+    """Bits in which a probed code may differ so that the sampled rows find that share of their true k best."""
+    x, best = _sampled(rows, k, id_col, vector_col)
+    if not len(x):
+        return 0
+    codes = _codes(x, planes)
+    differ = np.bitwise_count(codes[best] ^ codes[:, None]).min(-1)
+    return _least(differ, planes.shape[1], recall)
+
+
+def lsh_search(rows: DataFrame, index: DataFrame, planes: np.ndarray, query: Sequence[float], k: int, id_col: str = "id", vector_col: str = "vector", radius: int | None = None) -> DataFrame:
+    """Best k by cosine among rows with a code within `radius` bits of the query's, as many as RECALL
+    needs; among all rows if there is none."""
+    if radius is None:
+        radius = lsh_radius(rows, planes, k, id_col=id_col, vector_col=vector_col)
     hit = F.lit(False)
-    for t, c in enumerate(code.tolist()):
-        hit = hit | ((F.col("tab") == t) & (F.col("code") == c))
+    for t, c in enumerate(_codes(np.array([query], float), planes)[0].tolist()):
+        hit = hit | ((F.col("tab") == t) & (F.bit_count(F.col("code").bitwiseXOR(F.lit(c))) <= radius))
     found = index.where(hit).select(id_col).distinct()
     pool = rows if found.isEmpty() else rows.join(found, id_col, "left_semi")
     return top_k(pool, query, k, threshold=None, id_col=id_col, vector_col=vector_col)
 
 
-def multi_index(results: dict[str, DataFrame], k: int, weights: dict[str, float] | None = None, id_col: str = "id") -> DataFrame:
-    """Weighted reciprocal rank fusion of several indexes' results (id, score)."""
+def lsh_batch(rows: DataFrame, planes: np.ndarray, queries: DataFrame, k: int, radius: int | None = None) -> DataFrame:
+    """lsh_search for every query at once; rows are (id, vector), queries (query_id, query)."""
+    if radius is None:
+        radius = lsh_radius(rows, planes, k)
+
+    def match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        hit = np.zeros((len(a), len(b)), bool)
+        for t in range(a.shape[1]):
+            hit |= np.bitwise_count(a[:, None, t] ^ b[None, :, t]) <= radius
+        return hit
+
+    return _best_of(rows.withColumn("keys", lsh_codes(F.col("vector"), planes)), queries.withColumn("keys", lsh_codes(F.col("query"), planes)), k, match, True)
+
+
+def multi_index(results: dict[str, DataFrame], k: int, weights: dict[str, float] | None = None, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """Weighted reciprocal rank fusion of several indexes' results (id, score), for each value of `by`."""
     share = weights or {name: 1.0 / len(results) for name in results}
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    best = group.orderBy(F.desc("score"), id_col)
     parts = None
     for name, r in results.items():
-        rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), id_col))
-        part = r.select(id_col, "score").withColumn("s", F.lit(float(share.get(name, 0.0))) / (F.lit(60) + rank)).select(id_col, "s")
+        part = r.select(*by, id_col, "score").withColumn("s", F.lit(float(share.get(name, 0.0))) / (F.lit(60) + F.row_number().over(best))).select(*by, id_col, "s")
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy(id_col).agg(F.sum("s").alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    fused = parts.groupBy(*by, id_col).agg(F.sum("s").alias("score"))
+    if not by:
+        return fused.orderBy(F.desc("score"), id_col).limit(k)
+    return fused.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 class ProductQuantizer:

@@ -42,6 +42,11 @@ def _first(rows: DataFrame, id_: int = 0) -> list[float]:
     return [float(x) for x in rows.where(F.col("id") == id_).first()["vector"]]
 
 
+def _every(rows: DataFrame) -> DataFrame:
+    """Every row as a query."""
+    return rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+
+
 def _r(c: str, digits: int = 6):
     return F.round(c, digits).alias(c)
 
@@ -111,7 +116,7 @@ def vector_fetch(spark, d):
 def ivf_search(spark, d):
     rows = _vectors(spark, d)
     centres = VS.centroids(rows)
-    return VS.ivf_search(VS.ivf_index(rows, centres), centres, _first(rows), 10).select("id", _r("score"))
+    return VS.ivf_batch(VS.ivf_index(rows, centres), centres, _every(rows), 10).select("query_id", "id", _r("score"), "rank")
 
 
 @query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 10")
@@ -124,18 +129,18 @@ def ivf_search_all_cells(spark, d):
 @query()
 def lsh_search(spark, d):
     rows = _vectors(spark, d)
-    q = _first(rows)
-    planes = VS.hyperplanes(len(q), planes=8)
-    return VS.lsh_search(rows, VS.lsh_index(rows, planes), planes, q, 10).select("id", _r("score"))
+    planes = VS.hyperplanes(len(_first(rows)), planes=8)
+    return VS.lsh_batch(rows, planes, _every(rows), 10).select("query_id", "id", _r("score"), "rank")
 
 
 @query()
 def multi_index(spark, d):
     rows = _vectors(spark, d)
-    q = _first(rows)
+    q = _every(rows)
     centres = VS.centroids(rows)
-    parts = {"flat": VS.top_k(rows, q, 20, threshold=None), "ivf": VS.ivf_search(VS.ivf_index(rows, centres), centres, q, 20)}
-    return VS.multi_index(parts, 10).select("id", _r("score"))
+    index = VS.ivf_index(rows, centres)
+    parts = {"flat": VS.ivf_batch(index, centres, q, 20, probes=len(centres)), "ivf": VS.ivf_batch(index, centres, q, 20)}
+    return VS.multi_index(parts, 10, by=["query_id"]).select("query_id", "id", _r("score"), "rank")
 
 
 _LOW = "list_min(embedding::DOUBLE[])"

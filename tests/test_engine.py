@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,21 @@ def test_top_k_and_filters(spark):
     assert all(len(r["d"]) == 3 and r["x"] >= 0 for r in coded.collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_indexes_find_true_neighbours(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    best = np.argsort(-(x @ x.T), axis=1)[:, :10]
+    true = {i: set(ids[b].tolist()) for i, b in zip(ids.tolist(), best, strict=True)}
+    for name in ("ivf_search", "lsh_search", "multi_index"):
+        got = {}
+        for r in registry.QUERIES[name](spark, DATA).collect():
+            got.setdefault(r["query_id"], set()).add(r["id"])
+        assert got.keys() == true.keys() and all(len(g) == 10 for g in got.values())
+        assert sum(len(got[i] & t) for i, t in true.items()) >= 0.9 * 10 * len(true), name
+
+
 def test_full_text(spark):
     docs = spark.createDataFrame([("1", "machine learning and machine learning"), ("2", "machine learning"), ("3", "the quick brown fox jumps over the lazy dog"), ("4", "js"), ("5", None)], "id string, content string")
     index = fulltext.postings(docs)
