@@ -10,10 +10,10 @@ repeated when a window of LENGTH words occurs at two different places of the dis
 2. Only where an anchor repeats are windows twice as long looked at: every window of LENGTH words
    that contains a repeated anchor is hashed and shuffled; those that occur once end here.
 3. Windows repeated at one length alone are extended to twice that length, level by level, until
-   no candidates survive.  The words that repeat are already settled by step 2; the further
-   levels measure how long a repetition is.  Of their starts, one in 4**level is followed, chosen
-   by the hash of the window of LENGTH words there and so alike at all occurrences: `longest` is
-   the longest repeated window found at such a start, a lower bound.
+   no candidates survive: a window of twice the length can only repeat where its two halves do, and
+   its hash is made of theirs.  The words that repeat are already settled by step 2; the further
+   levels measure how long a repetition is: `longest` is the longest of the repeated windows of
+   LENGTH, 2 LENGTH, 4 LENGTH ... words that overlap a span.
 
 Of the occurrences of a window the one with the smallest (text key, position) stays.  A word is
 removed if a removed window covers it and no window that stays does.  Among documents of the same
@@ -34,12 +34,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.llm._spark import any_columns, cut, documents, scratch, text_input, text_key
-from loamgraph.llm._text import chunks, segment_hash, window_hashes, word_hashes, words
+from loamgraph.llm._text import chunks, mix, segment_hash, window_hashes, word_hashes, words
 
 #: Words of a passage that is to be found.
 LENGTH = 50
-#: Of the starts followed at one level, one in so many is followed at the next.
-THIN = 4
 
 
 def sliding(values: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
@@ -96,7 +94,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     return both.where("first <> last").drop("last")
 
 
-def _window_batches(length: int, thin: int):
+def _window_batches(length: int):
     base = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,24 +120,25 @@ def _window_batches(length: int, thin: int):
                     continue
                 hw = segment_hash(h, p, p + length)
                 text = np.searchsorted(word_off, p, side="right") - 1
-                gap = np.concatenate([[0], np.cumsum(~cand)])
-                level = 0
-                while len(p):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(p), level, np.int32)),
-                            pa.array((hw if not level else segment_hash(h, p, p + (length << level))).view(np.int64)),
-                            pa.array(ks[text]),
-                            pa.array((p - word_off[text]).astype(np.int32)),
-                            pa.array(hw % np.uint64(thin) == 0 if not level else np.ones(len(p), bool)),
-                        ],
-                        names=["level", "h", "k", "pos", "thin"],
-                    )
-                    level += 1
-                    end = p + (length << level)
-                    ok = (hw % np.uint64(thin**level) == 0) & (end <= word_off[text + 1])
-                    ok[ok] = gap[end[ok] - length + 1] == gap[p[ok]]
-                    p, hw, text = p[ok], hw[ok], text[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(hw.view(np.int64)), pa.array(ks[text]), pa.array((p - word_off[text]).astype(np.int32))], names=["h", "k", "pos"])
+
+    return run
+
+
+def _double_batches(size: int):
+    """Windows of twice `size` words, out of each text's repeated windows of `size`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, wins in zip(batch.column("k").to_pylist(), batch.column("wins"), strict=True):
+                pos, h = wins.values.field("pos").to_numpy().astype(np.int64), wins.values.field("h").to_numpy().view(np.uint64)
+                order = np.argsort(pos)
+                pos, h = pos[order], h[order]
+                at = np.minimum(np.searchsorted(pos, pos + size), len(pos) - 1)
+                ok = np.flatnonzero(pos[at] == pos + size)
+                if len(ok):
+                    both = mix(mix(h[ok]) + h[at[ok]])
+                    yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(np.full(len(ok), k, np.int64)), pa.array(pos[ok].astype(np.int32))], names=["h", "k", "pos"])
 
     return run
 
@@ -163,19 +162,16 @@ def _span_batches(length: int):
                 covered, kept = np.cumsum(mark, axis=1)[:, :n] > 0
                 state = covered.astype(np.int8) + (covered & ~kept)
                 edge = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1], [True]]))
+                # the longest window that covers each word
                 longest = np.zeros(n, np.int64)
-                np.maximum.at(longest, pos, size)
-                # the longest window that overlaps a span
-                order = np.argsort(-size, kind="stable")
+                for one in np.unique(size):
+                    cover = np.zeros(n + 1, np.int64)
+                    np.add.at(cover, pos[size == one], 1)
+                    np.add.at(cover, pos[size == one] + one, -1)
+                    longest[np.cumsum(cover[:n]) > 0] = one
                 for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     if state[s]:
-                        over = order[(pos[order] < e) & (pos[order] + size[order] > s)] if len(order) <= 4096 else None
-                        if over is None:
-                            near = longest[s:e].max()
-                            most = int(near) if near else length
-                        else:
-                            most = int(size[over[0]])
-                        out.append((k, s, e, bool(state[s] == 2), most))
+                        out.append((k, s, e, bool(state[s] == 2), int(longest[s:e].max())))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["k", "start_word", "end_word", "removed", "longest"])
@@ -183,45 +179,45 @@ def _span_batches(length: int):
     return run
 
 
+_WINDOW = "h long, k long, pos int"
 _SPAN = "k long, start_word int, end_word int, removed boolean, longest int"
 
 
-def text_spans(texts: DataFrame, length: int = LENGTH, thin: int = THIN) -> DataFrame:
+def text_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans (k, start_word, end_word, removed, longest) of the distinct texts of (k, text)."""
     anchors = texts.mapInArrow(_anchor_batches(length), "h long, k long, pos int")
     found = repeated(anchors).groupBy("k").agg(F.collect_list("pos").alias("anchors"))
-    rows, drop_rows = scratch(texts.join(found, "k").mapInArrow(_window_batches(length, thin), "level int, h long, k long, pos int, thin boolean"))
-    base = repeated(rows.where("level = 0").drop("level"))
-    base, drop_base = scratch(base.select("k", "pos", "thin", (F.col("first") == F.struct("k", "pos")).alias("own")))
-    levels, level, alive = [], 0, base.where("thin").select("k", "pos")
+    rows, drop_rows = scratch(texts.join(found, "k").mapInArrow(_window_batches(length), _WINDOW))
+    base, drop_base = scratch(repeated(rows).select("h", "k", "pos", (F.col("first") == F.struct("k", "pos")).alias("own")))
+    drop_rows()
+    drops, size, alive = [drop_base], length, base
+    wins = base.select("k", "pos", F.lit(length).alias("words"), "own")
     while True:
-        level += 1
-        more = rows.where(F.col("level") == level).drop("level", "thin").join(alive, ["k", "pos"], "left_semi")
-        alive = cut(repeated(more).select("k", "pos"))
+        halves = alive.groupBy("k").agg(F.collect_list(F.struct("pos", "h")).alias("wins"))
+        alive, drop = scratch(repeated(halves.mapInArrow(_double_batches(size), _WINDOW)).select("h", "k", "pos"))
+        drops.append(drop)
         if alive.isEmpty():
             break
-        levels.append(alive.withColumn("words", F.lit(length << level)))
-    wins = base.select("k", "pos", F.lit(length).alias("words"), "own")
-    for x in levels:
-        wins = wins.unionByName(x.withColumn("own", F.lit(False)))
+        size *= 2
+        wins = wins.unionByName(alive.select("k", "pos", F.lit(size).alias("words"), F.lit(False).alias("own")))
     grouped = wins.groupBy("k").agg(F.collect_list(F.struct("pos", "words", "own")).alias("wins"))
     out = cut(grouped.mapInArrow(_span_batches(length), _SPAN))
-    drop_rows()
-    drop_base()
+    for drop in drops:
+        drop()
     return out
 
 
 _SPACES = r"[\t-\r\x1c- ]+"
 
 
-def passages(docs: DataFrame, length: int = LENGTH, thin: int = THIN) -> DataFrame:
+def passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, k, start_word, end_word, removed, longest) of all repeated passages.
 
     Where several documents have one text of at least `length` words, a row spans each of them
     as a whole, removed but for the smallest doc_id; the passages inside are listed for that one.
     """
     d = text_input(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("k", text_key())
-    spans = text_spans(d.select("k", "text"), length, thin)
+    spans = text_spans(d.select("k", "text"), length)
     count = F.size(F.filter(F.split("text", _SPACES), lambda w: w != ""))
     ids = cut(d.select("doc_id", "k", F.coalesce(count, F.lit(0)).alias("n")).distinct())
     same = W.partitionBy("k")

@@ -87,6 +87,28 @@ def test_substring_dedup_is_brute_force(spark):
     assert windows
 
 
+def test_longest_is_brute_force(spark):
+    shared = [prose(500 + i, n) for i, n in enumerate((10, 19, 20, 39, 40, 41, 43, 80, 86, 170))]
+    texts = {i: " ".join([prose(700 + i, 7), shared[i % 10], prose(720 + i, 5), shared[(3 * i + i // 10) % 10]]) for i in range(20)}
+    texts[20] = " ".join([prose(750, 3), "word " * 4300, prose(751, 30), shared[9]])
+    d = frame(spark, texts.items())
+    where, repeats = {}, {i: [] for i in texts}
+    for n in (10 << j for j in range(10)):
+        where.clear()
+        for i, t in texts.items():
+            w = t.split()
+            for p in range(len(w) - n + 1):
+                where.setdefault(hash(tuple(w[p : p + n])), []).append((i, p))
+        for places in where.values():
+            if len(places) > 1:
+                for i, p in places:
+                    repeats[i].append((p, p + n))
+    rows = substring_dedup.repeated_passages(d, 10).collect()
+    assert {r["longest"] for r in rows} >= {10, 20, 40, 80, 160}
+    for r in rows:
+        assert r["longest"] == max(e - s for s, e in repeats[r["doc_id"]] if s < r["end_word"] and e > r["start_word"])
+
+
 def test_substring_dedup_edges(spark):
     long = prose(1, 80)
     d = frame(spark, [*EDGE, (20, long), (21, long), (21, long), (None, long)])
