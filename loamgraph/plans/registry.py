@@ -641,9 +641,14 @@ def route_semantic(spark, d):
     return routing.semantic(rows.select(F.col("id").alias("query_id"), "vector"), routes).select("query_id", "route", _r("score"), "matched")
 
 
+#: Which vector stands for each route.
+_ROUTE_VECTORS = [("places", 0, 0), ("things", 1, 1), ("people", 2, 2)]
+
+
 @query()
 def route_hybrid(spark, d):
-    rows = _vectors(spark, d).where("id < 40")
+    rows = _vectors(spark, d)
     q = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    routes = rows.where("id < 3").join(_routes(spark).withColumnRenamed("place", "id"), "id").select("route", F.col("id").alias("place"), "vector")
-    return routing.hybrid(routing.semantic(rows.select(F.col("id").alias("query_id"), "vector"), routes), routing.lexical(q, _routes(spark))).select("query_id", "route", _r("score"), "matched")
+    routes = spark.createDataFrame(_ROUTE_VECTORS, "route string, place int, id long").join(rows, "id").select("route", "place", "vector")
+    asked = rows.select(F.col("id").alias("query_id"), "vector").join(q.select("query_id"), "query_id", "left_semi")
+    return routing.hybrid(routing.semantic(asked, routes), routing.lexical(q, _routes(spark))).select("query_id", "route", _r("score"), "matched")

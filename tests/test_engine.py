@@ -200,6 +200,15 @@ def test_routing(spark):
     assert got == {1: ("greeting", 0.5, True), 2: ("search", 0.666667, True), 3: ("greeting", 0.0, False)}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_hybrid_routes_every_item_with_a_vector(spark):
+    big = DATA.replace("sf0.001", "sf0.1")
+    items = {r[0] for r in spark.read.parquet(f"{big}/benchmark.parquet").select("item_id").collect()}
+    vectors = {r[0] for r in spark.read.parquet(f"{big}/embeddings.parquet").select("vec_id").collect()}
+    got = [r["query_id"] for r in registry.QUERIES["route_hybrid"](spark, big).collect()]
+    assert len(items & vectors) > 40 and sorted(got) == sorted(items & vectors)
+
+
 def test_store(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"))
     e.create_collection("c")
