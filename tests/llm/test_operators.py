@@ -334,6 +334,13 @@ def test_language_held_out(spark):
     assert [r["keep"] for r in language_id.identify(extra).where("doc_id = 999").collect()] == [False]
 
 
+def test_left_out_language_is_rejected(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 150")
+    out = language_id.identify(d.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang"))))
+    kept = {r["de"]: r["kept"] for r in out.join(d.select("doc_id", (F.col("lang") == "de").alias("de")), "doc_id").groupBy("de").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert kept[True] < 0.1 and kept[False] > 0.98, kept
+
+
 def test_language_edges(spark):
     d = clashing(frame(spark, EDGE))
     rows = language_id.identify(d).collect()
