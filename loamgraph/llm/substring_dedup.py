@@ -30,10 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import any_columns, cut, documents, scratch, text_input, text_key
+from loamgraph.llm._spark import Scratch, any_columns, cut, documents, join_groups, text_input, text_key
 from loamgraph.llm._text import chunks, mix, segment_hash, window_hashes, word_hashes, words
 
 #: Words of a passage that is to be found.
@@ -87,29 +86,42 @@ def _anchor_batches(length: int):
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Rows (h, k, pos, ...) whose h occurs at two different (k, pos), with the first of these."""
-    group = W.partitionBy("h")
-    where = F.struct("k", "pos")
-    both = rows.withColumn("first", F.min(where).over(group)).withColumn("last", F.max(where).over(group))
-    return both.where("first <> last").drop("last")
+    """Rows (h, k, pos) whose h occurs at two different (k, pos), with the smallest k of h as `low`.
+
+    Rows must be a written table: they are read to count each h, combined before the shuffle, and again to
+    be joined with the h that repeat; an h of very many rows is dealt to several tasks.
+    """
+    ends = rows.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.min("pos").alias("a"), F.max("pos").alias("z"), F.count("*").alias("n"))
+    return join_groups(rows, ends.where("low <> high or a <> z").select("h", "low", "n"), ["h"], "n", ["k", "pos"])
+
+
+def _fresh_batches(length: int):
+    """(k, text) with the copies that one task meets dropped, and texts too short for `length` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part, _, off in chunks(batch, "text"):
+                long = (np.diff(off) >= 2 * length - 1).tolist()
+                ks = part.column("k").to_numpy(zero_copy_only=False).tolist()
+                yield part.filter(pa.array([x and not (k in seen or seen.add(k)) for k, x in zip(ks, long, strict=True)], pa.bool_()))
+
+    return run
 
 
 def _window_batches(length: int):
     base = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
                 ks = part.column("k").to_numpy(zero_copy_only=False)
-                fresh = np.array([not (k in seen or seen.add(k)) for k in ks.tolist()])
                 starts, ends, word_off = words(data, off)
                 h = word_hashes(data, starts, ends)
                 anchors = part.column("anchors")
                 size = np.diff(anchors.offsets.to_numpy()).astype(np.int64)
                 text = np.repeat(np.arange(part.num_rows), size)
                 a = anchors.flatten().to_numpy().astype(np.int64) + word_off[text]
-                text, a = text[fresh[text]], a[fresh[text]]
                 low, high = np.maximum(a - (length - base), word_off[text]), np.minimum(a, word_off[text + 1] - length)
                 mark = np.zeros(len(h) + 2, np.int64)
                 np.add.at(mark, low, 1)
@@ -152,7 +164,12 @@ def _span_batches(length: int):
             for k, wins in zip(batch.column("k").to_pylist(), batch.column("wins"), strict=True):
                 v = wins.values
                 pos, size = v.field("pos").to_numpy().astype(np.int64), v.field("words").to_numpy().astype(np.int64)
-                own = v.field("own").to_numpy(zero_copy_only=False)
+                # of a window whose smallest text is this one the first occurrence stays
+                own, h = v.field("low").to_numpy(zero_copy_only=False), v.field("h").to_numpy()
+                at = np.flatnonzero(own)
+                at = at[np.lexsort((pos[at], h[at]))]
+                own = np.zeros(len(pos), bool)
+                own[at[np.concatenate([[True], h[at[1:]] != h[at[:-1]]])[: len(at)]]] = True
                 n = int((pos + size).max())
                 mark = np.zeros((2, n + 1), np.int64)
                 base = size == length
@@ -183,56 +200,63 @@ _WINDOW = "h long, k long, pos int"
 _SPAN = "k long, start_word int, end_word int, removed boolean, longest int"
 
 
-def text_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans (k, start_word, end_word, removed, longest) of the distinct texts of (k, text)."""
-    anchors = texts.mapInArrow(_anchor_batches(length), "h long, k long, pos int")
-    found = repeated(anchors).groupBy("k").agg(F.collect_list("pos").alias("anchors"))
-    rows, drop_rows = scratch(texts.join(found, "k").mapInArrow(_window_batches(length), _WINDOW))
-    base, drop_base = scratch(repeated(rows).select("h", "k", "pos", (F.col("first") == F.struct("k", "pos")).alias("own")))
-    drop_rows()
-    drops, size, alive = [drop_base], length, base
-    wins = base.select("k", "pos", F.lit(length).alias("words"), "own")
-    while True:
-        halves = alive.groupBy("k").agg(F.collect_list(F.struct("pos", "h")).alias("wins"))
-        alive, drop = scratch(repeated(halves.mapInArrow(_double_batches(size), _WINDOW)).select("h", "k", "pos"))
-        drops.append(drop)
-        if alive.isEmpty():
-            break
-        size *= 2
-        wins = wins.unionByName(alive.select("k", "pos", F.lit(size).alias("words"), F.lit(False).alias("own")))
-    grouped = wins.groupBy("k").agg(F.collect_list(F.struct("pos", "words", "own")).alias("wins"))
-    out = cut(grouped.mapInArrow(_span_batches(length), _SPAN))
-    for drop in drops:
-        drop()
-    return out
-
-
-_SPACES = r"[\t-\r\x1c- ]+"
-
-
-def passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, k, start_word, end_word, removed, longest) of all repeated passages.
+def text_spans(texts: DataFrame, length: int = LENGTH, measure: bool = True) -> DataFrame:
+    """Spans (k, start_word, end_word, removed, longest) of the distinct texts of (k, text).
+
+    What is removed is settled by windows of `length`; without `measure` the further levels, which
+    only measure, are left out and `longest` is `length`.
+    """
+    texts = texts.mapInArrow(_fresh_batches(length), "k long, text string")
+    with Scratch(texts.sparkSession) as tables:
+        anchors = repeated(tables.keep(texts.mapInArrow(_anchor_batches(length), _WINDOW)))
+        found = anchors.groupBy("k").agg(F.collect_list("pos").alias("anchors"))
+        rows = tables.keep(texts.join(found, "k").mapInArrow(_window_batches(length), _WINDOW))
+        alive = base = tables.keep(repeated(rows))
+        size = length
+        wins = base.select("k", "pos", F.lit(length).alias("words"), (F.col("k") == F.col("low")).alias("low"), "h")
+        while measure:
+            halves = alive.groupBy("k").agg(F.collect_list(F.struct("pos", "h")).alias("wins"))
+            longer = tables.keep(halves.mapInArrow(_double_batches(size), _WINDOW))
+            alive = tables.keep(repeated(longer).select("h", "k", "pos"))
+            if alive.isEmpty():
+                break
+            size *= 2
+            wins = wins.unionByName(alive.select("k", "pos", F.lit(size).alias("words"), F.lit(False).alias("low"), F.lit(0).cast("long").alias("h")))
+        grouped = wins.groupBy("k").agg(F.collect_list(F.struct("pos", "words", "low", "h")).alias("wins"))
+        return cut(grouped.mapInArrow(_span_batches(length), _SPAN))
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, k, n): words of each document."""
+    for batch in batches:
+        for part, data, off in chunks(batch, "text"):
+            _, _, word_off = words(data, off)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(np.diff(word_off).astype(np.int32))], names=["doc_id", "k", "n"])
+
+
+def passages(docs: DataFrame, length: int = LENGTH, measure: bool = True) -> DataFrame:
+    """(doc_id, k, start_word, end_word, removed, longest, copies) of all repeated passages; copies is the
+    number of rows of this (doc_id, text).
 
     Where several documents have one text of at least `length` words, a row spans each of them
     as a whole, removed but for the smallest doc_id; the passages inside are listed for that one.
     """
     d = text_input(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("k", text_key())
-    spans = text_spans(d.select("k", "text"), length)
-    count = F.size(F.filter(F.split("text", _SPACES), lambda w: w != ""))
-    ids = cut(d.select("doc_id", "k", F.coalesce(count, F.lit(0)).alias("n")).distinct())
-    same = W.partitionBy("k")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id")).over(same)
-    ids = ids.withColumn("first", first["doc_id"].eqNullSafe(F.col("doc_id"))).withColumn("many", F.count("*").over(same) > 1)
-    whole = ids.where(F.col("many") & (F.col("n") >= length)).select(
-        "doc_id", "k", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), (~F.col("first")).alias("removed"), F.col("n").alias("longest")
+    spans = text_spans(d.select("k", "text"), length, measure)
+    counted = d.mapInArrow(_count_batches, "doc_id long, k long, n int").where(F.col("n") >= length)
+    ids = cut(counted.groupBy("doc_id", "k", "n").agg(F.count("*").alias("copies")))
+    # nulls last: a null id is the first only where there is no other
+    texts = ids.groupBy("k").agg(F.min("doc_id").alias("first"), F.max_by("copies", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("-inf")))).alias("first_copies"), F.count("*").alias("docs"))
+    whole = join_groups(ids, texts.where("docs > 1").select("k", "first", "docs"), ["k"], "docs", ["doc_id"]).select(
+        "doc_id", "k", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("removed"), F.col("n").alias("longest"), "copies"
     )
-    inside = ids.where("first").join(spans, "k").select("doc_id", "k", "start_word", "end_word", "removed", "longest")
+    inside = texts.join(spans, "k").select(F.col("first").alias("doc_id"), "k", "start_word", "end_word", "removed", "longest", F.col("first_copies").alias("copies"))
     return whole.unionByName(inside)
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start_word, end_word, removed, longest); see the module for all cases."""
-    return passages(docs, length).drop("k")
+    return passages(docs, length).select("doc_id", "start_word", "end_word", "removed", "longest")
 
 
 def _cut_batches(columns: list[str]):
@@ -261,11 +285,14 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns kept, without the removed passages; n_chars, where there is such
     a column, follows the text.  A document of which no word is left goes; rows repeating a
     (doc_id, text) are cut alike."""
-    spans = passages(docs, length).where("removed").groupBy(F.col("doc_id").alias("_s_id"), F.col("k").alias("_s_k"))
-    spans = spans.agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    d = docs.withColumn("_d_k", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    joined = d.join(spans, (F.col("_d_k") == F.col("_s_k")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_s_id")), "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], docs["text"].cast("string").alias("_text"), "_spans")
+    spans = passages(docs, length, measure=False).where("removed").groupBy(F.col("doc_id").alias("_s_id"), F.col("k").alias("_k"))
+    spans = spans.agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"), F.max("copies").alias("_copies"))
+    # a null id has a key of its own, so that the join is on plain equality
+    spans = spans.withColumn("_null", F.col("_s_id").isNull()).withColumn("_id", F.coalesce("_s_id", F.lit(0))).drop("_s_id")
+    given = docs["doc_id"].cast("long")
+    d = docs.withColumn("_k", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn("_null", given.isNull()).withColumn("_id", F.coalesce(given, F.lit(0).cast("long")))
+    joined = join_groups(d, spans, ["_k", "_null", "_id"], "_copies", [F.monotonically_increasing_id()], "left")
+    joined = joined.select(*docs.columns, F.col("text").cast("string").alias("_text"), "_spans")
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     out = joined.mapInArrow(_cut_batches(docs.columns), f"{fields}, _whole boolean")
     out = out.where(F.col("_whole") | (F.trim("text") != ""))
