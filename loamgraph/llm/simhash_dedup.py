@@ -1,8 +1,10 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-1. Fingerprints.  A text's features are its words of at least six bytes (all words where there
-   are fewer than eight of these), lower-cased, without punctuation.  Two independent 64-bit
-   SimHashes are taken; the first is searched, both verify.
+1. Fingerprints.  A text's features are its words, lower-cased, without punctuation.  Words of LONG_WORD
+   bytes or more have one weight; the weight of shorter ones falls from that by half with every
+   HALVING long words of the text, so that they carry a text with few others and never drown many,
+   and one changed word changes the weights little.  Two independent 64-bit SimHashes are taken;
+   the first is searched, both verify.
 2. Partitions.  The correlation of every two fingerprint bits is summed over all distinct
    fingerprints; correlated bits are put in the same partition greedily, since a partition of
    correlated bits is the one to give a small threshold.
@@ -15,13 +17,17 @@
    ceil(t/2) from the other, so index and probe signatures are enumerated on both sides.
    Rows are partitioned by (partition, signature); within each bucket every pair is verified on
    the full fingerprints.  A bucket emits only a spanning forest of its verified pairs, which keeps
-   the output linear while the connected components stay exact.
-5. Groups.  Connected components by alternating large-star and small-star steps.
+   the output linear while the connected components stay exact, and pairs that the forest connects
+   already are dropped block by block.  A bucket of over BUCKET rows is cut into blocks of so many; two
+   blocks that meet are a task's work of their own, so that no task holds more than two blocks.
+5. Groups.  Connected components by alternating large-star and small-star steps.  Minima are aggregated
+   before they are joined back, and keys of very many rows are dealt to several tasks.
 
 Fingerprints that are equal in all 128 bits are one node, so exact copies cost one row.  Null,
 empty and wordless texts have no features and are never grouped.  Rows that repeat a
 (doc_id, text) are members of one group.  The member with the smallest (doc_id, text key), null
-ids last, is kept.
+ids last, is kept.  Very long texts are read whole, one at a time; an empty table gives an empty
+result; columns besides doc_id and text are ignored, or kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -32,19 +38,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import any_columns, cut, documents, scratch, text_input, text_key
+from loamgraph.llm._spark import Scratch, any_columns, cut, documents, join_groups, text_input, text_key
 from loamgraph.llm._text import chunks, lower_bytes, mix, text_of, word_hashes, words
 
 #: Differing bits of the searched fingerprint, and of the second, that a near copy may have.
 RADIUS = 8
 VERIFY_RADIUS = 14
 LONG_WORD = 6
-FEW_WORDS = 8
+HALVING = 4
+_WEIGHT = 1 << 16
 PARTITIONS = 3
 SAMPLE = 2048
+#: Rows of a bucket that are compared in one piece.
+BUCKET = 1 << 16
 #: Pairs verified at once.
 PAIR_BLOCK = 1 << 20
 
@@ -57,18 +65,19 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(off) - 1
     text = text_of(np.arange(len(h)), word_off)
     long = (ends - starts) >= LONG_WORD
-    long |= (np.bincount(text[long], minlength=n) < FEW_WORDS)[text]
-    h, text = h[long], text[long]
-    count = np.bincount(text, minlength=n)
-    some = np.flatnonzero(count)
-    first = (np.cumsum(count) - count)[some]
+    count, many = np.bincount(text, minlength=n), np.bincount(text[long], minlength=n)
+    short = np.maximum(np.rint(_WEIGHT * np.exp2(-many / HALVING)).astype(np.int64), 1)
+    weight = _WEIGHT * many + short * (count - many)
     out = []
     for values in (h, mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A))):
         ones = np.zeros((n, 64), np.int64)
-        if len(some):
-            bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1)
-            ones[some] = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64).ravel())
+        for pick, times in ((long, np.full(n, _WEIGHT)), (~long, short)):
+            t = text[pick]
+            if len(t):
+                bits = np.unpackbits(values[pick].view(np.uint8).reshape(-1, 8), axis=1)
+                first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                ones[t[first]] += times[t[first], None] * np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * ones > weight[:, None], axis=1).view(np.uint64).ravel())
     return out[0], out[1], count > 0
 
 
@@ -240,29 +249,66 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Positions of a spanning forest's edges among (left, right)."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Spanning forest of pairs that come in blocks; holds a label for each row and the kept pairs alone."""
 
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while (up := parent.get(x, x)) != root:
-            parent[x], x = root, up
-        return root
+    def __init__(self, rows: int):
+        self.label = np.arange(rows)
+        self.pairs: list[np.ndarray] = []
 
-    keep = []
-    for i, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            keep.append(i)
-    return np.array(keep, np.int64)
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        x, y = self.label[left], self.label[right]
+        new = np.flatnonzero(x != y)
+        if not len(new):
+            return
+        x, y = np.minimum(x[new], y[new]), np.maximum(x[new], y[new])
+        _, first = np.unique(x * len(self.label) + y, return_index=True)
+        parent: dict[int, int] = {}
 
+        def find(v: int) -> int:
+            root = v
+            while (up := parent.get(root, root)) != root:
+                root = up
+            while (up := parent.get(v, v)) != root:
+                parent[v], v = root, up
+            return root
 
-def _bucket_batches(radius: int, verify: int):
-    """Edges between fingerprints of one bucket; rows arrive sorted by key."""
+        keep = []
+        for i, a, b in zip(first.tolist(), x[first].tolist(), y[first].tolist(), strict=True):
+            p, q = find(a), find(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                keep.append(i)
+        self.pairs.append(np.stack([left[new[keep]], right[new[keep]]]))
+        moved = np.arange(len(self.label))
+        for v in parent:
+            moved[v] = find(v)
+        self.label = moved[self.label]
+
+
+def _edge_batch(a: np.ndarray, b: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
+    if not forest.pairs:
+        return None
+    left, right = np.concatenate(forest.pairs, axis=1)
+    cols = [a[left], b[left], a[right], b[right]]
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], names=["a", "b", "a2", "b2"])
+
+
+def _verified(a, b, role, left, right, radius: int, verify: int) -> tuple[np.ndarray, np.ndarray]:
+    ok = (popcount(a[left] ^ a[right]) <= radius) & ((role[left] != role[right]) | (role[left] == 0))
+    left, right = left[ok], right[ok]
+    ok = (popcount(b[left] ^ b[right]) <= verify) & ((a[left] != a[right]) | (b[left] != b[right]))
+    return left[ok], right[ok]
+
+
+_EDGE = "a long, b long, a2 long, b2 long"
+#: Edges, and rows (key, block, a, b, role) of buckets that are too large for one piece.
+_FOUND = _EDGE + ", key long, block int, role byte"
+
+
+def _bucket_batches(radius: int, verify: int, bucket: int):
+    """Edges between fingerprints of one bucket; rows arrive sorted by key.  Of a bucket of over `bucket` rows
+    the pairs within each block are settled here, and its rows go on with the number of their block."""
 
     def edges(key: np.ndarray, a: np.ndarray, b: np.ndarray, role: np.ndarray) -> pa.RecordBatch | None:
         change = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -271,49 +317,122 @@ def _bucket_batches(radius: int, verify: int):
         if not many.any():
             return None
         index = np.repeat(many, size)
-        key, a, b, role = key[index], a[index], b[index], role[index]
+        a, b, role = a[index], b[index], role[index]
         size = size[many]
-        first = np.cumsum(size) - size
-        found_l, found_r = [], []
-        for left, right in _pairs(size, first):
-            ok = (popcount(a[left] ^ a[right]) <= radius) & ((role[left] != role[right]) | (role[left] == 0))
-            left, right = left[ok], right[ok]
-            ok = (popcount(b[left] ^ b[right]) <= verify) & ((a[left] != a[right]) | (b[left] != b[right]))
-            found_l.append(left[ok])
-            found_r.append(right[ok])
-        left, right = np.concatenate(found_l), np.concatenate(found_r)
-        if not len(left):
+        forest = Forest(len(a))
+        for left, right in _pairs(size, np.cumsum(size) - size):
+            forest.add(*_verified(a, b, role, left, right, radius, verify))
+        found = _edge_batch(a, b, forest)
+        if found is None:
             return None
-        pairs = np.stack([a[left], b[left], a[right], b[right]], axis=1)
-        pairs = np.unique(pairs, axis=0)
-        node = {}
-        ids = np.array([[node.setdefault((p[0], p[1]), len(node)), node.setdefault((p[2], p[3]), len(node))] for p in pairs.tolist()])
-        keep = pairs[forest(ids[:, 0], ids[:, 1])]
-        cols = [pa.array(keep[:, i].copy().view(np.int64)) for i in range(4)]
-        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "a2", "b2"])
+        none = [pa.nulls(found.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int8())]
+        return pa.RecordBatch.from_arrays([*found.columns, *none], names=["a", "b", "a2", "b2", "key", "block", "role"])
+
+    def onward(key: int, block: int, a: np.ndarray, b: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        cols = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none, pa.array(np.full(len(a), key)), pa.array(np.full(len(a), block, np.int32)), pa.array(role)]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "a2", "b2", "key", "block", "role"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        held, large, block = 0, None, 0
+
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            get = lambda c: table.column(c).to_numpy()
+            cols = get("key"), get("a").view(np.uint64), get("b").view(np.uint64), get("role")
+            if (out := edges(*cols)) is not None:
+                yield out
+
+        def piece(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """One block of the large bucket."""
+            nonlocal block
+            yield from settle(table)
+            get = lambda c: table.column(c).to_numpy()
+            yield onward(large, block, get("a").view(np.uint64), get("b").view(np.uint64), get("role"))
+            block += 1
+
+        def work(last: bool) -> Iterator[pa.RecordBatch]:
+            """All whole buckets and whole blocks of what is held; the rest stays."""
+            nonlocal rest, held, large, block
+            table = pa.Table.from_batches(rest)
+            while table.num_rows:
+                key = table.column("key").to_numpy()
+                if large is not None and key[0] != large:
+                    large, block = None, 0
+                if large is None:
+                    open_ = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
+                    if last and table.num_rows - open_ <= bucket:
+                        open_ = table.num_rows
+                    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    size = np.diff(np.concatenate([start, [len(key)]]))
+                    over = np.flatnonzero(size > bucket)
+                    end = min(open_, int(start[over[0]]) if len(over) else open_)
+                    if end:
+                        yield from settle(table.slice(0, end))
+                        table = table.slice(end)
+                        continue
+                    if table.num_rows <= bucket:
+                        break
+                    large = int(key[0])
+                    continue
+                end = int(np.searchsorted(key, large, side="right"))
+                if end == table.num_rows and end < bucket and not last:
+                    break
+                yield from piece(table.slice(0, min(end, bucket)))
+                table = table.slice(min(end, bucket))
+            rest = table.combine_chunks().to_batches()
+            held = table.num_rows
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest.append(batch)
+            held += batch.num_rows
+            if held > 100_000 + bucket:
+                yield from work(False)
+        if rest:
+            yield from work(True)
+
+    return run
+
+
+def _meeting_batches(radius: int, verify: int):
+    """Edges between two blocks of one bucket; rows arrive sorted by (key, x, y, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
-        def flush(table: pa.Table) -> pa.RecordBatch | None:
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
             get = lambda c: table.column(c).to_numpy()
-            return edges(get("key"), get("a").view(np.uint64), get("b").view(np.uint64), get("role"))
+            meets, block = np.stack([get("key"), get("x"), get("y")]), get("block")
+            a, b, role = get("a").view(np.uint64), get("b").view(np.uint64), get("role")
+            start = np.flatnonzero(np.concatenate([[True], (meets[:, 1:] != meets[:, :-1]).any(0)]))
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(block)], strict=True):
+                mid = lo + int(np.searchsorted(block[lo:hi], meets[2, lo]))
+                forest = Forest(hi - lo)
+                step = max(PAIR_BLOCK // max(hi - mid, 1), 1)
+                for at in range(lo, mid, step):
+                    left = np.repeat(np.arange(at, min(at + step, mid)), hi - mid)
+                    right = np.tile(np.arange(mid, hi), min(at + step, mid) - at)
+                    left, right = _verified(a, b, role, left, right, radius, verify)
+                    forest.add(left - lo, right - lo)
+                if (out := _edge_batch(a[lo:hi], b[lo:hi], forest)) is not None:
+                    yield out
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             rest.append(batch)
-            if sum(x.num_rows for x in rest) < 100_000:
+            last = [batch.column(c)[-1] for c in ("key", "x", "y")]
+            if [rest[0].column(c)[0] for c in ("key", "x", "y")] == last:
                 continue
             table = pa.Table.from_batches(rest)
-            key = table.column("key").to_numpy()
-            end = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
-            if end:
-                if (out := flush(table.slice(0, end))) is not None:
-                    yield out
-                rest = table.slice(end).to_batches()
-        if rest and (out := flush(pa.Table.from_batches(rest))) is not None:
-            yield out
+            same = np.logical_and.reduce([table.column(c).to_numpy() == v.as_py() for c, v in zip(("key", "x", "y"), last, strict=True)])
+            end = int(np.argmax(same))  # the last meeting may go on in the next batch
+            yield from settle(table.slice(0, end))
+            rest = table.slice(end).to_batches()
+        if rest:
+            yield from settle(pa.Table.from_batches(rest))
 
     return run
 
@@ -329,57 +448,65 @@ def components(edges: DataFrame) -> DataFrame:
     def total(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def lowest(x: DataFrame) -> DataFrame:
+        """Each (u, v) with the smallest v of u; x is checkpointed or a few steps from it."""
+        low = x.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return join_groups(x, low, ["u"], "n", ["v"])
+
     before = total(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u"))))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = low.withColumn("m", F.min("v").over(W.partitionBy("u")))
+        low = lowest(both).withColumn("m", F.least("u", "m"))
+        large = cut(low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = lowest(large)
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").distinct())
         now = total(e)
         if now == before:
             break
         before = now
-    roots = e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots.withColumnRenamed("u", "v"))
+    roots = e.select(F.col("v"), F.col("v").alias("root")).distinct()
+    return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_edges(nodes: DataFrame, radius: int, verify: int, parts: int) -> DataFrame:
+def near_edges(nodes: DataFrame, tables: Scratch, radius: int, verify: int, parts: int, bucket: int = BUCKET) -> DataFrame:
     """Edges that connect exactly the components of all pairs of nodes (a, b) within both radii."""
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("a", "b")).limit(SAMPLE).select("a").toPandas()["a"].to_numpy(np.int64).view(np.uint64)
     groups, limits = plan(correlations(nodes), sample, n, radius, parts)
     rows = nodes.mapInArrow(_signature_batches(groups, limits), "key long, a long, b long, role byte")
     count = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_bucket_batches(radius, verify), "a long, b long, a2 long, b2 long")
+    found = tables.keep(rows.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_bucket_batches(radius, verify, bucket), _FOUND))
+    edges = found.where("key is null").select("a", "b", "a2", "b2")
+    onward = found.where("key is not null").select("key", "block", "a", "b", "role")
+    if onward.isEmpty():
+        return edges
+    # a block meets every other of its bucket once, as the earlier (x) or the later (y) of the two
+    last = onward.groupBy("key").agg(F.max("block").alias("last"), F.count("*").alias("n"))
+    every = join_groups(onward, last, ["key"], "n", ["a", "b"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> block")
+    meeting = every.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "b", "role")
+    meeting = meeting.repartition(count, "key", "x", "y").sortWithinPartitions("key", "x", "y", "block")
+    return edges.unionByName(meeting.mapInArrow(_meeting_batches(radius, verify), _EDGE))
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY_RADIUS, parts: int = PARTITIONS) -> DataFrame:
     """(doc_id, k, group_id, keep, group_size, copies): one row for each distinct (doc_id, text) in a
     group of at least two rows; group_id is the kept member's doc_id and copies the number of
     rows that repeat this (doc_id, text)."""
-    prints = cut(with_fingerprints(docs))
-    nodes, drop = scratch(prints.select("a", "b").distinct())
     node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    label = components(near_edges(nodes, radius, verify, parts).select(node("a", "b").alias("u"), node("a2", "b2").alias("v")))
-    label = label.select(F.col("v.a").alias("la"), F.col("v.b").alias("lb"), "root")
-    drop()
-    joined = prints.join(label, (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left")
-    joined = joined.withColumn("root", F.coalesce("root", node("a", "b")))
-    rows = joined.groupBy("root", "doc_id", "k").agg(F.count("*").alias("copies"))
-    group = W.partitionBy("root")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "k")).over(group)
-    out = rows.withColumn("first", first).withColumn("group_size", F.sum("copies").over(group)).where("group_size > 1")
-    return out.select(
-        "doc_id",
-        "k",
-        F.col("first.doc_id").alias("group_id"),
-        (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k") == F.col("k"))).alias("keep"),
-        "group_size",
-        "copies",
-    )
+    rows = cut(with_fingerprints(docs).groupBy("doc_id", "k", "a", "b").agg(F.count("*").alias("copies")))
+    with Scratch(docs.sparkSession) as tables:
+        nodes = tables.keep(rows.groupBy("a", "b").agg(F.count("*").alias("n")))
+        edges = near_edges(nodes.select("a", "b"), tables, radius, verify, parts)
+        label = components(edges.select(node("a", "b").alias("u"), node("a2", "b2").alias("v")))
+        label = nodes.join(label.select("v.a", "v.b", "root"), ["a", "b"], "left").select("a", "b", "n", F.coalesce("root", node("a", "b")).alias("root"))
+        member = cut(join_groups(rows, label, ["a", "b"], "n", ["doc_id", "k"]).select("doc_id", "k", "copies", F.col("root.a").alias("ra"), F.col("root.b").alias("rb")))
+    # the smallest id, nulls last, and of equal ids the smallest key
+    size = member.groupBy("ra", "rb").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"), F.count("*").alias("n")).where("group_size > 1")
+    member = join_groups(member, size, ["ra", "rb"], "n", ["doc_id", "k"])
+    least = member.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("ra", "rb").agg(F.min("k").alias("first_k"), F.max("group_size").alias("n"))
+    out = join_groups(member, least, ["ra", "rb"], "n", ["doc_id", "k"])
+    return out.select("doc_id", "k", "group_id", (F.col("group_id").eqNullSafe(F.col("doc_id")) & (F.col("first_k") == F.col("k"))).alias("keep"), "group_size", "copies")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY_RADIUS, parts: int = PARTITIONS) -> DataFrame:
@@ -394,12 +521,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY_
 @any_columns
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY_RADIUS, parts: int = PARTITIONS) -> DataFrame:
     """The documents, all columns kept, with one row of each group."""
-    g = groups(docs, radius, verify, parts).select(F.col("doc_id").alias("_g_id"), F.col("k").alias("_g_k"), F.col("keep").alias("_g_keep"))
-    d = docs.withColumn("_d_k", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    joined = d.join(g, (F.col("_d_k") == F.col("_g_k")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_g_id")), "left")
-    joined = joined.where(F.coalesce("_g_keep", F.lit(True)))
-    ranked = joined.withColumn("_rank", F.row_number().over(W.partitionBy("_d_k", docs["doc_id"]).orderBy("_d_k")))
-    return ranked.where(F.col("_g_keep").isNull() | (F.col("_rank") == 1)).select(*docs.columns)
+    g = groups(docs, radius, verify, parts).select("keep", "copies", "doc_id", F.col("k").alias("_k"))
+    # a null id has a key of its own, so that the join is on plain equality
+    g = cut(g.select("_k", F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("keep").alias("_keep"), F.col("copies").alias("_copies")))
+    given = docs["doc_id"].cast("long")
+    d = docs.withColumn("_k", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn("_null", given.isNull()).withColumn("_id", F.coalesce(given, F.lit(0).cast("long")))
+    keys, spread = ["_k", "_null", "_id"], [F.monotonically_increasing_id()]
+    # rows of no group, and kept ones that occur once; then one row of each kept one that occurs again
+    first = join_groups(d, g.select(*keys, "_copies", (F.col("_keep") & (F.col("_copies") == 1)).alias("_stays")), keys, "_copies", spread, "left")
+    again = g.where(F.col("_keep") & (F.col("_copies") > 1)).select(*keys, "_copies")
+    every = F.struct(*docs.columns)
+    order = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])
+    again = join_groups(d, again, keys, "_copies", spread).groupBy(*keys).agg(F.min_by(every, order).alias("_row"))
+    return first.where(F.coalesce("_stays", F.lit(True))).select(*docs.columns).unionByName(again.select("_row.*"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
