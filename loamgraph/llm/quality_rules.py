@@ -1,11 +1,12 @@
 """Quality by the hashed n-gram log-likelihood ratio of trusted text to the raw corpus.
 
-A word becomes a token: its shape (letters, capitals, digits and letters beyond ASCII as one class
-each, every run as one; other bytes as they are), marked where the word repeats the one before
-it.  The 1-, 2- and 3-grams of a document's tokens are hashed to BUCKETS.  Two multinomials
+A word becomes two tokens: itself in lower case, and its shape (letters, capitals, digits and letters
+beyond ASCII as one class each, every run as one; other bytes as they are), marked where the word
+repeats the one before it.  The 1-, 2- and 3-grams of a document's words and those of its shapes
+are hashed to BUCKETS.  Two multinomials
 are estimated, the raw one with add-one smoothing over all documents, the target one, which
 starts from PRIOR n-grams in the raw one's shares, over at
-most TRUSTED_DOCS documents that `labels` trusts (quality 1 in all of a document's labels; those
+most `trusted_docs` documents that `labels` trusts (quality 1 in all of a document's labels; those
 with the smallest hash of doc_id).  A document's score is the mean over its n-grams of
 log(p_target / p_raw); it is kept where that is at least THRESHOLD nats per n-gram.
 
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import any_columns, documents, text_input
+from loamgraph.llm._spark import any_columns, documents, named, text_input
 from loamgraph.llm._text import byte_table, chunks, lower_bytes, segment_hash, text_of, window_hashes, word_hashes, words
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 ORDERS = (1, 2, 3)
 TRUSTED_DOCS = 20_000
-THRESHOLD = -1.0
+THRESHOLD = -0.6
 #: N-grams of the raw distribution that the target one starts from.
 PRIOR = 1_000.0
 
@@ -43,11 +44,11 @@ _CLASS[128:] = 97
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word's token, and the n+1 offsets into them by text."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of every word and of its shape, and the n+1 offsets into them by text."""
     starts, ends, word_off = words(data, off)
     if not len(starts):
-        return np.empty(0, np.uint64), word_off
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), word_off
     cls = _CLASS[data]
     keep = np.ones(len(cls), bool)
     keep[1:] = cls[1:] != cls[:-1]
@@ -59,17 +60,18 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(starts), bool)
     again[1:] = (same[1:] == same[:-1]) & (text[1:] == text[:-1])
     out[again] ^= _REPEAT
-    return out, word_off
+    return same, out, word_off
 
 
 def buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bucket and the text of every n-gram."""
-    h, word_off = tokens(data, off)
+    *both, word_off = tokens(data, off)
     grams, texts = [], []
-    for n in ORDERS:
-        g, _, text = window_hashes(h, word_off, n)
-        grams.append(g)
-        texts.append(text)
+    for h in both:
+        for n in ORDERS:
+            g, _, text = window_hashes(h, word_off, n)
+            grams.append(g)
+            texts.append(text)
     return (np.concatenate(grams) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(texts)
 
 
@@ -129,24 +131,24 @@ def _score_batches(columns: list[str], llr, threshold: float, filtering: bool):
     return run
 
 
-def _apply(docs: DataFrame, labels: DataFrame, columns: list[str], filtering: bool, threshold: float) -> DataFrame:
-    llr = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels))
+def _apply(docs: DataFrame, labels: DataFrame, columns: list[str], filtering: bool, threshold: float, trusted_docs: int) -> DataFrame:
+    llr = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels, trusted_docs))
     fields = [f"`{c}` {t}" for c, t in docs.select(*columns).dtypes]
     if not filtering:
         fields += ["score double", "ngrams long", "keep boolean"]
-    d = docs.select(*[docs[c] for c in columns], docs["text"].cast("string").alias("_text"))
+    d = docs.select(*columns, F.col("text").cast("string").alias("_text"))
     return d.mapInArrow(_score_batches(columns, llr, threshold, filtering), ", ".join(fields))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """(doc_id, score, ngrams, keep) of every document; see the module for all cases."""
-    return _apply(docs, labels, ["doc_id"], False, threshold)
+    return _apply(named(docs, "doc_id", "text"), labels, ["doc_id"], False, threshold, trusted_docs)
 
 
 @any_columns
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """The documents that reach the threshold, all columns kept."""
-    return _apply(docs, labels, docs.columns, True, threshold)
+    return _apply(docs, labels, docs.columns, True, threshold, trusted_docs)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
