@@ -8,9 +8,10 @@ gives the tokens of the original encoder.  The ids are the ranks.
 
 Encoding splits a text into pre-tokens and encodes every distinct one once in a while (a cache of
 bounded size); decoding looks up each id's bytes, the inverse of the mapping, so that
-decode(encode(x)) = x for every text.  Whole texts are encoded.  A null text has null ids, no
+decode(encode(x)) = x for every text, also for bytes that aren't UTF-8.  Whole texts are encoded.  A null text has null ids, no
 count and a null `lossless`; an empty one an empty list.  Rows that repeat give equal rows,
-an empty table an empty result; columns besides the key and text are ignored.
+an empty table an empty result; columns besides the key and text are ignored.  Ids that are null or not
+in the vocabulary decode to no bytes.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgraph.llm._spark import documents, text_input
+from loamgraph.llm._spark import documents, named, text_input
 from loamgraph.llm._text import byte_table, chunks, segment_hash, string_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -166,18 +168,17 @@ class Codec:
         new[~new] = self.hash[at[~new]] != hashes[~new]
         if new.any():
             ids, count = self.pieces(data, starts[new], ends[new])
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
+            place = at[new]  # both are sorted, so the new ones are merged in
+            self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(count) - count)
+            self.count = np.insert(self.count, place, count)
             self.ids = np.concatenate([self.ids, ids])
-            self.hash = np.concatenate([self.hash, hashes[new]])
-            order = np.argsort(self.hash, kind="stable")
-            self.hash, self.at, self.count = self.hash[order], self.at[order], self.count[order]
+            self.hash = np.insert(self.hash, place, hashes[new])
             at = np.searchsorted(self.hash, hashes)
         return at
 
     def encode_one(self, text: bytes) -> np.ndarray:
         """The ids of one text by PATTERN itself, without the cache."""
-        words = [w.encode("utf-8") for w in self.split(text.decode("utf-8"))]
+        words = [w.encode("utf-8", "surrogateescape") for w in self.split(text.decode("utf-8", "surrogateescape"))]
         ends = np.cumsum([len(w) for w in words]).astype(np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         return self.pieces(np.frombuffer(text, np.uint8), starts, ends)[0] if words else np.empty(0, np.int32)
@@ -271,9 +272,20 @@ def _decode_batches(key: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            col = batch.column("ids")
-            texts = [None if v is None else codec.decode(np.array(v, np.int64)).decode("utf-8", errors="replace") for v in col.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string())], names=[key, "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                col = part.column("ids")
+                null = col.is_null().to_numpy(zero_copy_only=False)
+                size = np.where(null, 0, pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
+                flat = pc.fill_null(pc.list_flatten(col), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                ok = (flat >= 0) & (flat < len(codec.size))
+                off = np.concatenate([[0], np.cumsum(ok)])[off]
+                back, where = codec.decode_all(flat[ok], off)
+                # the bytes as they are, whether UTF-8 or not
+                valid = pa.array(~null).buffers()[1] if null.any() else None
+                texts = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(where.astype(np.int32).tobytes()), pa.py_buffer(back.tobytes()), valid)
+                yield pa.RecordBatch.from_arrays([part.column(key), texts], names=[key, "text"])
 
     return run
 
@@ -287,7 +299,7 @@ def _share(spark: SparkSession, vocabulary: str):
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", check: bool = True) -> DataFrame:
     """(key, ids, n_tokens) of every document and, with `check`, whether decoding gives its bytes
     again; see the module for all cases."""
-    kind = dict(docs.dtypes)[key]
+    kind = dict(named(docs, key).dtypes)[key]
     fields = f"`{key}` {kind}, ids array<int>, n_tokens long" + ", lossless boolean" * check
     shared = _share(docs.sparkSession, vocabulary)
     return text_input(docs, key).mapInArrow(_encode_batches(key, shared, check), fields)
@@ -295,6 +307,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", c
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
     """(key, text) of rows of (key, ids); null ids give a null text, no ids an empty one."""
+    encoded = named(encoded, key, "ids")
     kind = dict(encoded.dtypes)[key]
     shared = _share(encoded.sparkSession, vocabulary)
     return encoded.select(key, encoded["ids"].cast("array<int>").alias("ids")).mapInArrow(_decode_batches(key, shared), f"`{key}` {kind}, text string")
