@@ -1,6 +1,6 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
-1. Parsing.  One pass over the tags builds the tree: void elements have no children, script and
+1. Parsing.  One pass over the tags, linear in the page whatever is in it, builds the tree: void elements have no children, script and
    style hold raw text, comments and declarations go, paragraphs, list items, table cells and options
    end where the next begins, a stray end tag is ignored, what is open at the end is closed there.
 2. Features of each element: kind of tag, depth, length and density of its subtree's text, share of text
@@ -33,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgraph.llm._spark import named
+
 TRAIN_PAGES = 400
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
-TOKENS = 16
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKENS = 64
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -65,109 +68,173 @@ COLUMNS = 16 + TOKENS
 
 @dataclass
 class Tree:
-    """Elements in document order; texts are (element, text) in order."""
+    """Elements in document order, so that a subtree is the range from an element to its end; texts are
+    (element, text) in order."""
 
     tag: list[str]
     parent: list[int]
+    depth: list[int]
+    end: list[int]
     attributes: list[str]
     text_of: list[int]
     texts: list[str]
 
 
+class Tags:
+    """Ends of tags.  A tag ends at the first ">" outside quotes; a quote without a partner is a letter like any
+    other, and a "<" whose tag never ends is text.  Every place is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.dead: set[int] = set()  # quotes from which no end is reached
+        self.near = (0, -1)  # a range without special letters, but for its end
+
+    def special(self, at: int) -> int:
+        if not self.near[0] <= at <= self.near[1]:
+            m = _SPECIAL.search(self.page, at)
+            self.near = (at, m.start() if m else len(self.page))
+        return self.near[1]
+
+    def end(self, at: int) -> int:
+        page, seen = self.page, []
+        while at <= self.last[">"]:
+            i = self.special(at)
+            if i >= len(page):
+                break
+            if page[i] == ">":
+                return i
+            if i in self.dead:
+                break
+            seen.append(i)
+            at = i + 1 if i >= self.last[page[i]] else page.find(page[i], i + 1) + 1
+        self.dead.update(seen)
+        return -1
+
+
+class Open:
+    """The open elements, and where in the stack each name is."""
+
+    def __init__(self):
+        self.node, self.name = [0], ["#root"]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: int, name: str) -> None:
+        self.where.setdefault(name, []).append(len(self.name))
+        if name in _BLOCK:
+            self.blocks.append(len(self.name))
+        self.node.append(node)
+        self.name.append(name)
+
+    def last(self, names) -> int:
+        """Place of the innermost of the names, 0 for none."""
+        return max((self.where[x][-1] for x in names if self.where.get(x)), default=0)
+
+    def close_to(self, place: int, end: list[int], now: int) -> None:
+        while len(self.name) > place:
+            name = self.name.pop()
+            self.where[name].pop()
+            if name in _BLOCK:
+                self.blocks.pop()
+            end[self.node.pop()] = now
+
+
 def parse(page: str) -> Tree:
-    tag, parent, attributes, at_node, texts = ["#root"], [-1], [""], [], []
-    open_ = [0]
-    names = ["#root"]
+    tag, parent, depth, end, attributes, at_node, texts = ["#root"], [-1], [0], [0], [""], [], []
+    stack, tags = Open(), Tags(page)
     position, size = 0, len(page)
 
-    def close_to(depth: int) -> None:
-        del open_[depth:], names[depth:]
-
-    while position < size:
-        m = _TAG.search(page, position)
-        end = m.start() if m else size
-        if end > position:
-            piece = page[position:end]
-            if not piece.isspace():
-                at_node.append(open_[-1])
-                texts.append(piece)
-        if not m:
+    def text(piece: str) -> None:
+        if piece and not piece.isspace():
+            at_node.append(stack.node[-1])
+            texts.append(piece)
+
+    begin = 0  # of the text not yet given out
+    while True:
+        at = page.find("<", position)
+        if at < 0:
+            text(page[begin:])
             break
-        position = m.end()
-        name = m.group(2)
-        if not name:
+        m = None
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            stop = stop + 3 if stop >= 0 else size
+        elif page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at)
+            stop = stop + 3 if stop >= 0 else size
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            stop = page.find(">", at) + 1 if tags.last[">"] > at else 0
+        elif m := _OPEN.match(page, at):
+            stop = tags.end(m.end()) + 1
+        else:
+            stop = 0
+        if not stop:
+            position = at + 1
+            continue
+        text(page[begin:at])
+        begin = position = stop
+        if m is None:
             continue
-        name = name.lower()
+        name, now = m.group(2).lower(), len(tag)
         if m.group(1):
-            for d in range(len(names) - 1, 0, -1):
-                if names[d] == name:
-                    close_to(d)
-                    break
-                if name not in _BLOCK and names[d] in _BLOCK:
-                    break
+            place = stack.last((name,))
+            if place and (name in _BLOCK or not stack.blocks or place > stack.blocks[-1]):
+                stack.close_to(place, end, now)
             continue
         if name in _CLOSES_P:
-            for d in range(len(names) - 1, 0, -1):
-                if names[d] == "p":
-                    close_to(d)
-                    break
-                if names[d] in _SCOPE:
-                    break
+            place = stack.last(("p",))
+            if place > stack.last(_SCOPE):
+                stack.close_to(place, end, now)
         if name in _ENDS:
             ended, until = _ENDS[name]
-            for d in range(len(names) - 1, 0, -1):
-                if names[d] in ended:
-                    close_to(d)
-                    if name != "tr" or names[-1] not in ended:
-                        break
-                elif names[d] in until:
+            while (place := stack.last(ended)) > stack.last(until):
+                stack.close_to(place, end, now)
+                if name != "tr" or stack.name[-1] not in ended:
                     break
         if name in _RAW:
-            stop = _RAW_END[name].search(page, position)
-            position = stop.end() if stop else size
+            found = _RAW_END[name].search(page, position)
+            begin = position = found.end() if found else size
             continue
         tag.append(name)
-        parent.append(open_[-1])
-        attributes.append(m.group(3) or "")
+        parent.append(stack.node[-1])
+        depth.append(len(stack.name))
+        end.append(now + 1)
+        attributes.append(page[m.end() : stop - 1])
         if name not in _VOID:
-            open_.append(len(tag) - 1)
-            names.append(name)
-    return Tree(tag, parent, attributes, at_node, texts)
+            stack.push(now, name)
+    stack.close_to(1, end, len(tag))
+    end[0] = len(tag)
+    return Tree(tag, parent, depth, end, attributes, at_node, texts)
 
 
-def _up(values: np.ndarray, parent: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
-    """Sums over subtrees; order: the nodes by depth, deepest first."""
-    out = values.astype(float)
-    for level in order:
-        np.add.at(out, parent[level], out[level])
-    return out
+def up(values: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums over subtrees of whole numbers."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[end] - total[:-1]
 
 
-def depths(parent: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(parent), np.int64)
-    for i, p in enumerate(parent.tolist()):
-        if p >= 0:
-            out[i] = out[p] + 1
-    return out
+def down(flags: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """True in the subtrees of all flagged nodes."""
+    mark = np.zeros(len(flags) + 1, np.int64)
+    np.add.at(mark, np.flatnonzero(flags), 1)
+    np.add.at(mark, end[flags], -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
-def features(t: Tree) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(nodes, COLUMNS) features, characters of each node's own text, and the nodes by depth from below."""
+def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, COLUMNS) features and characters of each node's own text."""
     n = len(t.tag)
-    parent = np.array(t.parent)
-    depth = depths(parent)
-    order = [np.flatnonzero(depth == d) for d in range(int(depth.max()), 0, -1)]
-    own, marks = np.zeros(n), np.zeros(n)
+    parent, depth, end = np.array(t.parent), np.array(t.depth), np.array(t.end)
+    own, marks = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, x in zip(t.text_of, t.texts, strict=True):
         own[i] += len(x)
         marks[i] += x.count(",") + x.count(".") + x.count(";")
-    hidden = np.array([x in _HIDDEN for x in t.tag])
-    link = np.array([x == "a" for x in t.tag])
-    for level in reversed(order):
-        hidden[level] |= hidden[parent[level]]
-        link[level] |= link[parent[level]]
+    hidden = down(np.array([x in _HIDDEN for x in t.tag]), end)
+    link = down(np.array([x == "a" for x in t.tag]), end)
     own[hidden] = 0
-    text, nodes, links, stops = (_up(v, parent, order) for v in (own, np.ones(n), own * link, marks * ~hidden))
+    text, links, stops = (up(v, end) for v in (own, own * link, marks * ~hidden))
+    nodes = end - np.arange(n)
     inside = parent[1:]
     children = np.bincount(inside, minlength=n)
     kind = np.array([_KINDS.get(x, 0) for x in t.tag])
@@ -176,7 +243,7 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     for i, p in enumerate(t.parent[1:], 1):
         place[i] = seen[p]
         seen[p] += 1
-    up = np.maximum(parent, 0)
+    over = np.maximum(parent, 0)
     sibling_text = np.bincount(inside, weights=text[1:], minlength=n) / np.maximum(children, 1)
     pair = inside * 64 + kind[1:]
     unique, at = np.unique(pair, return_inverse=True)
@@ -185,7 +252,7 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     x = np.zeros((n, COLUMNS))
     cols = [
         kind, depth, np.log1p(text), np.log1p(own), text / nodes, links / np.maximum(text, 1), stops / np.maximum(text, 1) * 100, children, np.log1p(nodes),
-        place / np.maximum(children[up], 1), children[up], same, np.log1p(sibling_text[up]), (text + 1) / (sibling_text[up] + 1), text / np.maximum(text[0], 1), kind[up],
+        place / np.maximum(children[over], 1), children[over], same, np.log1p(sibling_text[over]), (text + 1) / (sibling_text[over] + 1), text / np.maximum(text[0], 1), kind[over],
     ]
     for j, c in enumerate(cols):
         x[:, j] = c
@@ -194,25 +261,19 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
             for m in _NAMES.finditer(a):
                 for w in _WORD.findall((m.group(1) or m.group(2) or m.group(3) or "").lower()):
                     x[i, 16 + zlib.crc32(w.encode()) % TOKENS] = 1
-    return x, own, order
+    return x, own
 
 
 def training_labels(t: Tree) -> np.ndarray:
     """1 inside article or main, 0 elsewhere, -1 for what surrounds these and on pages without."""
-    n = len(t.tag)
-    inside, around = np.zeros(n, bool), np.zeros(n, bool)
-    for i in range(1, n):
-        inside[i] = t.tag[i] in _TRUE or inside[t.parent[i]]
+    end = np.array(t.end)
+    inside = down(np.array([x in _TRUE for x in t.tag]), end)
     if not inside.any():
-        return np.full(n, -1)
-    for i in range(n - 1, 0, -1):
-        if inside[i] or around[i]:
-            around[t.parent[i]] = True
-    hidden = np.zeros(n, bool)
-    for i in range(1, n):
-        hidden[i] = t.tag[i] in _HIDDEN or hidden[t.parent[i]]
+        return np.full(len(end), -1)
+    around = (up(inside.astype(np.int64), end) > 0) & ~inside
+    hidden = down(np.array([x in _HIDDEN for x in t.tag]), end)
     out = inside.astype(int)
-    out[(around & ~inside) | hidden] = -1
+    out[around | hidden] = -1
     out[0] = -1
     return out
 
@@ -277,21 +338,19 @@ class Boosted:
         return z
 
 
-def decode(t: Tree, score: np.ndarray, own: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
-    """True for each node that is in a taken subtree; the best consistent choice."""
-    parent = np.array(t.parent)
-    worth = score * np.log1p(own)
-    whole = _up(worth, parent, order)
-    below = np.zeros(len(worth))
-    take = np.zeros(len(worth), bool)
-    for level in order:
-        take[level] = whole[level] > np.maximum(below[level], 0)
-        np.add.at(below, parent[level], np.maximum(np.maximum(whole[level], below[level]), 0))
-    take[0] = False
-    inside = np.zeros(len(worth), bool)
-    for level in reversed(order):
-        inside[level] = take[level] | inside[parent[level]]
-    return inside
+def decode(t: Tree, score: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """True for each node that is in a taken subtree; the best consistent choice.  Worths are whole millionths,
+    so that their sums are exact."""
+    end = np.array(t.end)
+    whole = up(np.rint(score * np.log1p(own) * 1e6).astype(np.int64), end).tolist()
+    below = [0] * len(whole)
+    take = np.zeros(len(whole), bool)
+    for i in range(len(whole) - 1, 0, -1):
+        best = max(below[i], 0)
+        if whole[i] > best:
+            take[i], best = True, whole[i]
+        below[t.parent[i]] += best
+    return down(take, end)
 
 
 def text_out(t: Tree, inside: np.ndarray) -> str:
@@ -316,7 +375,7 @@ def _training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for page in pages:
         t = parse(page)
         y = training_labels(t)
-        x, _, _ = features(t)
+        x, _ = features(t)
         xs.append(x[y >= 0])
         ys.append(y[y >= 0])
     return np.concatenate(xs), np.concatenate(ys)
@@ -331,7 +390,7 @@ def _training_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Boosted | None:
     """The trees, or None where no page says what is content."""
-    d = pages.select(pages["html"].cast("string").alias("html")).where("html is not null and html rlike '(?i)<(article|main)[ >]'")
+    d = named(pages, "html").select(F.col("html").cast("string").alias("html")).where("html is not null and html rlike '(?i)<(article|main)[ >]'")
     # only hashes are sorted; the pages of the smallest are then read
     keys = d.select(F.xxhash64("html").alias("k")).distinct().orderBy("k").limit(train_pages)
     sample = d.withColumn("k", F.xxhash64("html")).join(F.broadcast(keys), "k").dropDuplicates(["k"]).select("html")
@@ -368,18 +427,14 @@ def extract_all(pages: list[str | None], model: Boosted | None) -> list[tuple[st
         if t is None:
             out.append(("", 0, 0))
             continue
-        x, own, order = f
+        x, own = f
         score = scores[at : at + len(x)] if scores is not None else np.ones(len(x))
         at += len(x)
         if not own.any():
             out.append(("", len(t.tag) - 1, 0))
             continue
-        inside = decode(t, score, own, order)
-        parent = np.array(t.parent)
-        hidden = np.array([name in _HIDDEN for name in t.tag])
-        for level in reversed(order):
-            hidden[level] |= hidden[parent[level]]
-        inside &= ~hidden
+        inside = decode(t, score, own)
+        inside &= ~down(np.array([name in _HIDDEN for name in t.tag]), np.array(t.end))
         out.append((text_out(t, inside), len(t.tag) - 1, int(inside.sum())))
     return out
 
@@ -388,8 +443,8 @@ def main_text(pages: DataFrame, key: str = "page_id", train_pages: int = TRAIN_P
     """(page_id, text, nodes, content_nodes) of every page; see the module for all cases."""
     # a few thousand numbers, whatever the data
     shared = pages.sparkSession.sparkContext.broadcast(fit(pages, train_pages))
-    d = pages.select(pages[key], pages["html"].cast("string").alias("html"))
-    return d.mapInArrow(_extract_batches(key, shared), f"`{key}` {dict(pages.dtypes)[key]}, text string, nodes int, content_nodes int")
+    d = named(pages, key, "html").select(key, F.col("html").cast("string").alias("html"))
+    return d.mapInArrow(_extract_batches(key, shared), f"`{key}` {dict(d.dtypes)[key]}, text string, nodes int, content_nodes int")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
