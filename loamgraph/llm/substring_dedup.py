@@ -33,35 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm._spark import Scratch, any_columns, cut, documents, join_groups, text_input, text_key
-from loamgraph.llm._text import chunks, mix, segment_hash, window_hashes, word_hashes, words
+from loamgraph.llm._text import chunks, mix, segment_hash, window_hashes, winnow, word_hashes, words
 
 #: Words of a passage that is to be found.
 LENGTH = 50
 
 
-def sliding(values: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
-    """best over each values[i : i + width], for i up to len(values) - width."""
-    n = len(values)
-    rows = -(-n // width)
-    block = np.full(rows * width, fill, dtype=values.dtype)
-    block[:n] = values
-    block = block.reshape(rows, width)
-    before = best.accumulate(block, axis=1).ravel()
-    after = best.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(after[: n - width + 1], before[width - 1 : n])
-
-
-def winnow(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
-    """True where h is the smallest of some `width` neighbouring windows of one text."""
-    n = len(h)
-    if n < width:
-        return np.zeros(n, bool)
-    low = sliding(h, width, np.minimum, np.iinfo(np.uint64).max)
-    low[text[width - 1 :] != text[: n - width + 1]] = 0
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    return sliding(padded, width, np.maximum, 0) == h
-
-
 def _anchor_batches(length: int):
     base = length // 2
     width = length - base + 1
