@@ -13,7 +13,9 @@
    offset and length are those of the URI).  An object inside another carved one, or inside the object
    at the start, is part of that one and isn't carved again.
 
-Values are read whole.  Null and empty values have a null type, no mismatch and nothing to carve; a null
+Values are read whole, hits in order of place, and what lies in an object already found is not validated;
+compressed data is checked in pieces of PIECE bytes of output, so that a bomb costs time but no memory.
+Null and empty values have a null type, no mismatch and nothing to carve; a null
 declared type is no mismatch.  Rows that repeat give equal rows, an empty table gives an empty
 result, columns besides the key, the value and the declared type are ignored.
 """
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgraph.llm._spark import named
+
 SYNONYMS = {"image/jpg": "image/jpeg", "image/pjpeg": "image/jpeg", "image/x-png": "image/png", "audio/x-wav": "audio/wav", "audio/wave": "audio/wav", "application/x-gzip": "application/gzip", "application/x-zip-compressed": "application/zip", "audio/mp3": "audio/mpeg", "application/xhtml+xml": "text/html", "image/x-ms-bmp": "image/bmp", "text/json": "application/json"}
 
 
@@ -74,7 +78,7 @@ def jpeg(b: bytes, at: int) -> int:
             p += 2
             continue
         n = _u16(b, p + 2)
-        if m < 0xC0 or n < 2:
+        if m < 0xC0 or m == 0xD8 or n < 2:
             return 0
         frame |= 0xC0 <= m <= 0xCF and m not in (0xC4, 0xC8, 0xCC)
         p += 2 + n
@@ -150,29 +154,43 @@ def pdf(b: bytes, at: int) -> int:
     return end + len(re.compile(rb"\r?\n?").match(b, end).group()) - at
 
 
+#: Bytes that are read, and decompressed, at once.
+PIECE = 1 << 20
+
+
 def gzip(b: bytes, at: int) -> int:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return 0
-    d = zlib.decompressobj(31)
+    d, p, rest = zlib.decompressobj(31), at, b""
     try:
-        p = at
-        while p < len(b) and not d.eof:
-            d.decompress(b[p : p + (1 << 20)])
-            p = min(p + (1 << 20), len(b))
+        while not d.eof:
+            if not rest:
+                if p >= len(b):
+                    return 0
+                rest = b[p : p + PIECE]
+                p += len(rest)
+            d.decompress(rest, PIECE)
+            rest = d.unconsumed_tail
     except zlib.error:
         return 0
-    return p - at - len(d.unused_data) if d.eof else 0
+    return p - at - len(d.unused_data)
 
 
-def zip_(b: bytes, at: int) -> int:
-    p = at
+@lru_cache(maxsize=1)
+def zip_ends(b: bytes) -> dict[int, int]:
+    """Where each archive of a value begins and ends, out of all end records, once for a value."""
+    out, p = {}, 0
     while (p := b.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(b):
         size, offset = _l32(b, p + 12), _l32(b, p + 16)
-        if offset + size == p - at and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            end = p + 22 + int.from_bytes(b[p + 20 : p + 22], "little")
-            return end - at if end <= len(b) else 0
+        at, end = p - offset - size, p + 22 + int.from_bytes(b[p + 20 : p + 22], "little")
+        if at >= 0 and end <= len(b) and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
+            out.setdefault(at, end)
         p += 4
-    return 0
+    return out
+
+
+def zip_(b: bytes, at: int) -> int:
+    return max(zip_ends(b).get(at, 0) - at, 0)
 
 
 def ogg(b: bytes, at: int) -> int:
@@ -338,35 +356,44 @@ def text_type(b: bytes) -> str:
 
 def sniff(b: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """Type of the whole value, and (type, offset, length) of each carved object in order."""
-    found: list[tuple[int, int, str]] = []
+    hits: list[tuple[int, int]] = []
     uris = False
     for end, i in automaton().iter(b.decode("latin-1")):
         if i < 0:
             uris = True
-            continue
-        magic, back, kind, check = FORMATS[i]
-        at = end + 1 - len(magic) - back
-        if at >= 0 and (n := check(b, at)):
-            found.append((at, n, kind))
+        elif (at := end + 1 - len(FORMATS[i][0]) - FORMATS[i][1]) >= 0:
+            hits.append((at, i))
+    inner: dict[int, tuple[int, str]] = {}
     if uris:
         for m in _DATA_URI.finditer(b):
             try:
-                inner = base64.b64decode(re.sub(rb"\s", b"", m.group(2)).translate(bytes.maketrans(b"-_", b"+/")), validate=True)
+                value = base64.b64decode(re.sub(rb"\s", b"", m.group(2)).translate(bytes.maketrans(b"-_", b"+/")), validate=True)
             except binascii.Error:
                 continue
-            kind, _ = sniff(inner)
+            kind, _ = sniff(value)
             if kind not in ("application/octet-stream", "text/plain"):
-                found.append((m.start(), m.end() - m.start(), kind))
-    found.sort(key=lambda x: (x[0], -x[1], x[2]))
-    whole, carved, end = None, [], 0
-    for at, n, kind in found:
-        if at < end:
+                inner[m.start()] = (m.end() - m.start(), kind)
+                hits.append((m.start(), -1))
+    hits.sort()
+    whole, carved, end, n = None, [], 0, 0
+    while n < len(hits):
+        at = hits[n][0]
+        best = (0, "")
+        while n < len(hits) and hits[n][0] == at:
+            i = hits[n][1]
+            n += 1
+            if at >= end:
+                size, kind = inner[at] if i < 0 else (FORMATS[i][3](b, at), FORMATS[i][2])
+                if size > best[0] or (size == best[0] and kind < best[1]):
+                    best = (size, kind)
+        size, kind = best
+        if not size:
             continue
-        end = at + n
+        end = at + size
         if at == 0 and b[:5].lower() != b"data:":
             whole = kind
         else:
-            carved.append((kind, at, n))
+            carved.append((kind, at, size))
     return whole or text_type(b), carved
 
 
@@ -411,8 +438,9 @@ def media_types(rows: DataFrame, key: str, value: str, declared: str | None = No
     The declared type is in the column `declared`; without one it is `default` for all rows.  See the
     module for all cases.
     """
-    said = F.lit(default).cast("string") if declared is None else rows[declared].cast("string")
-    d = rows.select(rows[key], rows[value].cast("binary").alias("value"), said.alias("declared"))
+    rows = named(rows, *dict.fromkeys([key, value, *([declared] if declared is not None else [])]))
+    said = F.lit(default).cast("string") if declared is None else F.col(declared).cast("string")
+    d = rows.select(F.col(key), F.col(value).cast("binary").alias("value"), said.alias("declared"))
     out = f"`{key}` {dict(rows.dtypes)[key]}, bytes long, declared_type string, type string, mismatch boolean, carved {_CARVED}"
     return d.mapInArrow(_sniff_batches(key), out)
 
