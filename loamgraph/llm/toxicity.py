@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import documents, text_input, text_key
+from loamgraph.llm._spark import documents, named, text_input, text_key
 from loamgraph.llm._text import byte_table, chunks, lower_bytes, seeded, segment_hash, word_hashes, words
 
 LEXICONS = {
@@ -401,7 +401,7 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     """(doc_id, p_toxic, toxic) of every document; see the module for all cases."""
     # at most FEATURES weights, whatever the data
     shared = docs.sparkSession.sparkContext.broadcast(classifier(docs, labels, train_docs))
-    return text_input(docs, "doc_id").mapInArrow(_score_batches(shared, threshold), f"doc_id {dict(docs.dtypes)['doc_id']}, p_toxic double, toxic boolean")
+    return text_input(docs, "doc_id").mapInArrow(_score_batches(shared, threshold), f"doc_id {dict(named(docs, 'doc_id').dtypes)['doc_id']}, p_toxic double, toxic boolean")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
