@@ -197,6 +197,8 @@ def links(parsed: DataFrame) -> DataFrame:
     """(conv_id, lone, seq, at, level, to_conv, to_lone, to_seq, to_turn) of every passage that has an original."""
     keys = ["conv_id", "lone", "seq"]
     quoted = parsed.select(*keys, F.posexplode("passages").alias("at", "p")).select(*keys, "at", "p.*")
+    if quoted.isEmpty():  # nothing is joined where nothing is quoted
+        return quoted.select(*keys, "at", "level", *[F.lit(None).cast(t).alias(c) for c, t in (("to_conv", "long"), ("to_lone", "long"), ("to_seq", "int"), ("to_turn", "long"))])
     # how a passage would lie around its anchor, once for all that lie alike
     shape = quoted.where("anchor is not null").select(F.col("anchor").alias("a"), "pos", "size").distinct()
     lie = shape.groupBy("a").agg(F.collect_set(F.struct("pos", "size")).alias("lies"), F.lit(1).alias("one"))
