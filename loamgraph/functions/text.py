@@ -105,6 +105,12 @@ def query_tokens(query: str, synonyms: bool = True) -> list[str]:
     return list(out)
 
 
+def levenshtein(a: Column | str, b: Column | str) -> Column:
+    """Distance in UTF-8 bytes: each byte counts as the Latin-1 letter of its number."""
+    byte = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    return F.levenshtein(byte(a), byte(b))
+
+
 def levenshtein_bytes(a: str, b: str) -> int:
     x, y = a.encode(), b.encode()
     row = list(range(len(y) + 1))
@@ -186,7 +192,10 @@ def document_kind(path: Column) -> Column:
 
 
 def summarize(text: Column, most: int = 140) -> Column:
-    return F.substring(trim(F.regexp_replace(text, "\n", " ")), 1, most)
+    """At most so many UTF-8 bytes; a character that would be cut goes."""
+    one = trim(F.regexp_replace(text, "\n", " "))
+    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: F.octet_length(F.substring(one, F.lit(1), n)) <= most)
+    return F.when(F.octet_length(one) <= most, one).otherwise(F.substring(one, F.lit(1), F.size(fits)))
 
 
 def truncate(text: Column, most: int) -> Column:
@@ -212,14 +221,67 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def bank_id(name: str) -> str:
-    clean = re.sub(r"[^a-z0-9_-]+", "-", name.strip().lower()).strip("-")
-    if not clean:
+    given = name.strip().lower()
+    if not given:
         return "default"
-    return clean if len(clean) <= 48 else f"{clean[:40]}-{hashlib.sha1(clean.encode()).hexdigest()[:8]}"
+    clean = re.sub(r"[^a-z0-9_-]+", "-", given).strip("-_") or "bank"
+    return clean if len(clean) <= 48 else f"{clean[:40]}-{hashlib.sha1(given.encode()).hexdigest()[:8]}"
 
 
 def merge_distinct(*lists: list[str]) -> list[str]:
-    return list(dict.fromkeys(x.strip() for values in lists for x in values if x.strip()))
+    """Non-blank strings in order, each once whatever its case."""
+    out: dict[str, str] = {}
+    for x in (x.strip() for values in lists for x in values):
+        if x:
+            out.setdefault(x.lower(), x)
+    return list(out.values())
+
+
+def clip(text: str, most: int) -> str:
+    """At most so many UTF-8 bytes, with "..." where that cuts; no character is cut in two."""
+    text = text.strip()
+    raw = text.encode()
+    if most <= 0 or len(raw) <= most:
+        return text
+    if most <= 3:
+        return raw[:most].decode(errors="ignore")
+    return raw[: most - 3].decode(errors="ignore").strip() + "..."
+
+
+def compact_snippet(text: str) -> str:
+    raw = text.strip().encode()
+    return raw[:197].decode(errors="ignore") + "..." if len(raw) > 200 else text.strip()
+
+
+def compact_title(text: str) -> str:
+    return clip(compact_snippet(text), 96) or "Knowledge"
+
+
+def expand_query(query: str, keywords: list[str] = (), alternates: list[str] = ()) -> list[str]:
+    """Query, keywords and alternate queries in order, each non-blank one once."""
+    return list(dict.fromkeys(x.strip() for x in (query, *keywords, *alternates) if x.strip()))
+
+
+def names_in(text: str) -> list[str]:
+    """Runs of letters from a capital on, of over two bytes, in order and with repeats."""
+    out, run = [], ""
+    for c in text + " ":
+        if c.isupper() or (c.isalpha() and run):
+            run += c
+        else:
+            if len(run.encode()) > 2:
+                out.append(run)
+            run = ""
+    return out
+
+
+def keyword_list(text: str) -> list[str]:
+    return "".join(c if c.isalpha() or c.isdecimal() else " " for c in text.lower()).split()
+
+
+def distinct(values) -> list[str]:
+    """Trimmed non-blank strings, each once, in order."""
+    return list(dict.fromkeys(v.strip() for v in values if v and v.strip()))
 
 
 def chunk_spans(text: str, size: int = 500, overlap: int = 125) -> list[tuple[int, int]]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
+from loamgraph.sources.store import cut, work_dir
 
 
 def postings(docs: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
@@ -23,7 +26,7 @@ def matches(index: DataFrame, terms: list[str], fuzzy: int = 0) -> DataFrame:
     elif fuzzy > 0:
         wanted = index.sparkSession.createDataFrame([(t,) for t in terms], "query_term string")
         vocabulary = index.select("term").distinct()
-        near = vocabulary.crossJoin(F.broadcast(wanted)).where(F.levenshtein("term", "query_term") <= fuzzy)
+        near = vocabulary.crossJoin(F.broadcast(wanted)).where(T.levenshtein("term", "query_term") <= fuzzy)
         hit = index.join(near, "term")
     else:
         hit = index.where(F.col("term").isin(terms)).withColumn("query_term", F.col("term"))
@@ -82,17 +85,18 @@ def rrf(lists: list[DataFrame], k: int | None = None, constant: int = 60, per_do
     return out
 
 
-def hybrid(vector_hits: DataFrame, text_hits: DataFrame, k: int) -> DataFrame:
-    """Fused; where one side is empty, the other as it is."""
-    if text_hits.isEmpty():
-        return vector_hits.select("id", "score").limit(k)
-    if vector_hits.isEmpty():
-        return text_hits.select("id", "score").limit(k)
-    return rrf([vector_hits, text_hits], k)
+def hybrid(vector_hits: DataFrame, text_hits: DataFrame, k: int, constant: int = 60) -> DataFrame:
+    """Fused; where one side is empty, the other as it is.  Both lists are tops of searches, each run once."""
+    both = vector_hits.select("id", "score", F.lit(0).alias("side")).unionByName(text_hits.select("id", "score", F.lit(1).alias("side")))
+    every = W.partitionBy(F.lit(1))
+    rank = F.row_number().over(W.partitionBy("side").orderBy(F.desc("score"), "id"))
+    d = both.withColumn("s", 1.0 / (F.lit(constant) + rank)).withColumn("sides", F.max("side").over(every) - F.min("side").over(every))
+    d = d.groupBy("id").agg(F.sum("s").alias("fused"), F.max("score").alias("own"), F.max("sides").alias("sides"))
+    return d.select("id", F.when(F.col("sides") > 0, F.col("fused")).otherwise(F.col("own")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def rerank_bm25(candidates: DataFrame, terms: list[str], content_col: str = "content") -> DataFrame:
-    """Half the old score and half a BM25 over the candidates alone, by substring counts."""
+    """Half the old score and half a BM25 over the candidates alone, by substring counts; best first."""
     every = W.partitionBy(F.lit(1))
     low = F.lower(F.coalesce(F.col(content_col), F.lit("")))
     d = candidates.withColumn("_len", F.octet_length(F.col(content_col)).cast("double")).withColumn("_n", F.count("*").over(every)).withColumn("_avg", F.avg("_len").over(every))
@@ -101,11 +105,11 @@ def rerank_bm25(candidates: DataFrame, terms: list[str], content_col: str = "con
         tf = (F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / F.lit(float(len(t)))
         d = d.withColumn(f"_tf{i}", tf)
         found = F.greatest(F.count_if(F.col(f"_tf{i}") > 0).over(every), F.lit(1))
-        idf = F.log((F.col("_n") - found + 0.5) / (found + 0.5) + 1)
-        d = d.withColumn(f"_idf{i}", idf)
+        d = d.withColumn(f"_idf{i}", F.log((F.col("_n") - found + 1) / found + 1))
         norm = F.col(f"_tf{i}") + 1.2 * (0.25 + 0.75 * F.coalesce(F.try_divide(F.col("_len"), F.col("_avg")), F.lit(0.0)))
         score = score + F.col(f"_idf{i}") * F.col(f"_tf{i}") * 2.2 / norm
-    return d.withColumn("score", 0.5 * F.col("score") + 0.5 * score).select(*candidates.columns)
+    d = d.withColumn("score", 0.5 * F.col("score") + 0.5 * score)
+    return d.orderBy(F.desc("score"), *([F.col("id")] if "id" in candidates.columns else [])).select(*candidates.columns)
 
 
 def rerank_cosine(candidates: DataFrame, query: str, content_col: str = "content") -> DataFrame:
@@ -114,3 +118,80 @@ def rerank_cosine(candidates: DataFrame, query: str, content_col: str = "content
     tokens = T.tokenize(F.col(content_col))
     value = F.try_divide(F.size(F.array_intersect(q, tokens)).cast("double"), F.sqrt(F.size(q).cast("double") * F.size(tokens)))
     return candidates.withColumn("score", F.coalesce(value, F.lit(0.0)))
+
+
+class TextIndex:
+    """Stored postings: the terms are dealt to PARTS folders by their hash and sorted within, so that a query
+    reads the folders of its terms and, by the files' statistics, little else.  The ids of all indexed documents
+    are a table beside them.  Adding writes new files alone; removing writes the touched folders anew."""
+
+    PARTS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @staticmethod
+    def part(term) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(TextIndex.PARTS)).cast("int")
+
+    def _write(self, name: str, rows: DataFrame, how: str) -> None:
+        rows.withColumn("part", self.part(F.col("term"))).repartition(self.PARTS, "part").sortWithinPartitions("part", "term").write.partitionBy("part").mode(how).parquet(f"{self.path}/{name}")
+
+    def build(self, docs: DataFrame) -> TextIndex:
+        """The index of (id, content) in place of what there is."""
+        self._write("postings", postings(docs), "overwrite")
+        docs.select("id").write.mode("overwrite").parquet(f"{self.path}/documents")
+        return self
+
+    def index(self, docs: DataFrame) -> None:
+        """Further documents; one that is indexed already is replaced."""
+        docs = cut(docs.select("id", "content"))
+        self.unindex(docs.select("id"))
+        self._write("postings", postings(docs), "append")
+        docs.select("id").write.mode("append").parquet(f"{self.path}/documents")
+
+    def unindex(self, ids: DataFrame) -> None:
+        """Without these documents.  Only the parts that hold one of their terms are written anew."""
+        have = self.spark.read.parquet(f"{self.path}/documents")
+        gone = cut(ids.select("id").distinct().join(have, "id", "left_semi"))
+        if gone.isEmpty():
+            return
+        old = self.spark.read.parquet(f"{self.path}/postings")
+        touched = [r["part"] for r in old.join(gone, "id", "left_semi").select("part").distinct().collect()]
+        left = cut(old.where(F.col("part").isin(touched)).join(gone, "id", "left_anti"))
+        (left.repartition(self.PARTS, "part").sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/postings"))
+        kept = {r["part"] for r in left.select("part").distinct().collect()}
+        jvm = self.spark.sparkContext._jvm
+        for n in set(touched) - kept:
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/postings/part={n}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        cut(have.join(gone, "id", "left_anti")).write.mode("overwrite").parquet(f"{self.path}/documents")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """(id, term, tf); with terms, only the folders that can hold one of them are read."""
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        if terms is not None:
+            parts = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self.part(F.col("term"))).collect()}) if terms else []
+            rows = rows.where(F.col("part").isin(parts) & F.col("term").isin(terms))
+        return rows.select("id", "term", "tf")
+
+    def n_docs(self) -> int:
+        """Out of the files' footers."""
+        return self.spark.read.parquet(f"{self.path}/documents").count()
+
+    def search(self, query: str, *, k: int = 10, fuzzy: int = 0, is_phrase: bool = False, synonyms: bool = True) -> DataFrame:
+        terms = T.query_tokens(query, synonyms)
+        whole = fuzzy > 0 or (len(terms) == 1 and terms[0].startswith("*:"))
+        return search(self.postings(None if whole else terms), query, self.n_docs(), k=k, fuzzy=fuzzy, is_phrase=is_phrase, synonyms=synonyms)
+
+
+_built: dict[tuple[str, str], TextIndex] = {}
+
+
+def stored(name: str, docs: DataFrame) -> TextIndex:
+    """The index `name` of this application, built from the documents when it is first asked for."""
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _built:
+        _built[key] = TextIndex(spark, f"{work_dir(spark)}/text-{key[0]}-{hashlib.sha256(name.encode()).hexdigest()[:16]}").build(docs)
+    return _built[key]

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamgraph.sources.store import cut
+
 
 def upsert(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    new = new.dropDuplicates([key])
     return rows.join(new.select(key), key, "left_anti").unionByName(new)
 
 
@@ -43,57 +48,66 @@ def bfs(edges: DataFrame, start: Sequence, max_depth: int = 3, direction: str =
     """(id, depth) of what is reached, without the start.
 
     One join for each level: the frontier meets the edges, and what was seen before is taken away.
-    Levels are checkpointed where a checkpoint folder is set, so a plan never grows with the depth.
+    Every level is checkpointed, so a plan never grows with the depth and a level is computed once.
     """
     spark = edges.sparkSession
     hop = directed(edges, direction, types).select("src", "dst").distinct()
     if nodes is not None:
         hop = hop.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    if max_depth > 1:
+        hop = cut(hop)
     kind = dict(edges.dtypes)["from_id"]
     seen = spark.createDataFrame([(s,) for s in start], f"id {kind}").withColumn("depth", F.lit(0))
     frontier = seen.select("id")
-    keep = spark.sparkContext.getCheckpointDir() is not None
     for depth in range(1, max_depth + 1):
         step = frontier.join(hop, frontier["id"] == hop["src"]).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         step = step.withColumn("depth", F.lit(depth))
-        step = step.checkpoint() if keep else step
+        if depth < max_depth:
+            step = cut(step)
+            if step.isEmpty():
+                break
         seen, frontier = seen.unionByName(step), step.select("id")
     return seen.where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, source, target, max_depth: int = 64) -> tuple[list, list] | None:
-    """Nodes and edges of a path with the fewest hops along the edges' direction, or None.
+def shortest_path(edges: DataFrame, source, target, max_depth: int | None = None) -> tuple[list, list] | None:
+    """Nodes and edges of a path with the fewest hops along the edges' direction, or None; of several the one
+    whose edges are first by (type, id), from the source on.
 
-    Each level keeps one row for each node, the one over the smallest edge (type, id), with the way to it.
+    A level is one join and one action: it keeps one row for each node, with the way to it.  The search ends at
+    the target or where nothing new is reached, however far that is.
     """
     if source == target:
         return [source], []
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["from_id"]
-    hop = edges.select("from_id", "to_id", "type", F.col("id").alias("edge"))
+    hop = edges.select("from_id", "to_id", F.coalesce("type", F.lit("")).alias("type"), F.col("id").cast("string").alias("edge"))
     seen = spark.createDataFrame([(source,)], f"id {kind}")
-    way = seen.select("id", F.array("id").alias("nodes"), F.array().cast("array<string>").alias("path"))
-    for _ in range(max_depth):
+    way = seen.select("id", F.array("id").alias("nodes"), F.array().cast("array<struct<type:string,edge:string>>").alias("path"))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = way.join(hop, way["id"] == hop["from_id"]).join(seen.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-        first = W.partitionBy("to_id").orderBy("nodes", "type", "edge")
-        step = step.withColumn("_r", F.row_number().over(first)).where("_r = 1")
-        way = step.select(F.col("to_id").alias("id"), F.concat("nodes", F.array("to_id")).alias("nodes"), F.concat("path", F.array(F.col("edge").cast("string"))).alias("path"))
-        if spark.sparkContext.getCheckpointDir() is not None:
-            way = way.checkpoint()
-        hit = way.where(F.col("id") == target).collect()
-        if hit:
-            return list(hit[0]["nodes"]), list(hit[0]["path"])
-        if way.isEmpty():
+        path = F.concat("path", F.array(F.struct("type", "edge")))
+        step = step.select(F.col("to_id").alias("id"), F.concat("nodes", F.array("to_id")).alias("nodes"), path.alias("path"))
+        way = cut(step.groupBy("id").agg(F.min_by("nodes", "path").alias("nodes"), F.min("path").alias("path")))
+        found = way.agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == target, F.struct("nodes", "path"))).alias("hit")).first()
+        if found["hit"] is not None:
+            return list(found["hit"]["nodes"]), [x["edge"] for x in found["hit"]["path"]]
+        if not found["n"]:
             return None
         seen = seen.unionByName(way.select("id"))
     return None
 
 
-def dfs(edges: DataFrame, start, max_depth: int = 3, types: Sequence[str] | None = None) -> list:
+def dfs(edges: DataFrame, start, max_depth: int = 3, types: Sequence[str] | None = None, most: int = 1_000_000) -> list:
     """Preorder from the start, each node once.  The order is sequential by nature, so the edges within
-    reach, and no others, come to the driver."""
+    reach, and no others, come to the driver; more than `most` of them are an error."""
     near = bfs(edges, [start], max_depth, types=types).select("id").unionByName(edges.sparkSession.createDataFrame([(start,)], f"id {dict(edges.dtypes)['from_id']}"))
-    e = neighbors(edges, near, types=types).orderBy("src", "type", "id").collect()
+    e = cut(neighbors(edges, near, types=types))
+    if (n := e.count()) > most:
+        raise ValueError(f"{n} edges are in reach, more than {most}")
+    e = e.orderBy("src", "type", "id").collect()
     below: dict = {}
     for r in e:
         below.setdefault(r["src"], []).append(r["dst"])
@@ -129,15 +143,26 @@ def type_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def report(summary: dict, top: list[tuple], style: str = "text") -> str:
-    head = [f"{k}: {v}" for k, v in summary.items()]
-    rows = [f"{name} ({n})" for name, n in top]
+def top_nodes(edges: DataFrame, k: int = 10) -> DataFrame:
+    """The k nodes of the largest degree."""
+    return degrees(edges).orderBy(F.desc("degree"), "id").limit(k)
+
+
+def report(nodes: DataFrame, edges: DataFrame, style: str = "text", k: int = 10) -> str:
+    """Counts, types and most connected nodes as text, Markdown or HTML."""
+    if style not in ("text", "markdown", "html"):
+        raise ValueError(f"no such format: {style}")
+    a = analyze(nodes, edges).first()
+    head = [f"Nodes: {a['n_nodes']}", f"Edges: {a['n_edges']}", f"Density: {a['density']:.4f}", f"Isolated: {a['isolated']}"]
+    kinds = [("Node types", [f"{r['type']}: {r['n']}" for r in type_counts(nodes).orderBy("type").collect()]), ("Edge types", [f"{r['type']}: {r['n']}" for r in type_counts(edges).orderBy("type").collect()])]
+    top = [f"{r['id']} ({r['degree']})" for r in top_nodes(edges, k).collect()]
+    parts = [("Graph report", head), *kinds, ("Most connected", top)]
     if style == "markdown":
-        return "# Graph report\n\n" + "\n".join(f"- {x}" for x in head) + "\n\n## Most connected\n\n" + "\n".join(f"1. {x}" for x in rows)
+        return "\n\n".join("#" * min(i + 1, 2) + f" {title}\n\n" + "\n".join(f"- {x}" for x in lines) for i, (title, lines) in enumerate(parts))
     if style == "html":
-        item = lambda xs: "".join(f"<li>{x}</li>" for x in xs)
-        return f"<h1>Graph report</h1><ul>{item(head)}</ul><h2>Most connected</h2><ol>{item(rows)}</ol>"
-    return "Graph report\n" + "\n".join(head + rows)
+        safe = lambda x: html.escape(str(x))
+        return "".join(f"<h{min(i + 1, 2)}>{safe(title)}</h{min(i + 1, 2)}><ul>{''.join(f'<li>{safe(x)}</li>' for x in lines)}</ul>" for i, (title, lines) in enumerate(parts))
+    return "\n".join(x for title, lines in parts for x in (title, *lines))
 
 
 _STRIP = r"^[.,!?;:\"'()\[\]{}]+|[.,!?;:\"'()\[\]{}]+$"
@@ -163,7 +188,49 @@ def co_occurrence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return pairs.groupBy("doc_id", F.col("prev").alias("from_id"), F.col("node").alias("to_id")).agg(F.count("*").alias("weight"))
 
 
-def build(nodes: DataFrame, edges: DataFrame, min_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Each id once, edges of at least the least weight."""
+def build(nodes: DataFrame, edges: DataFrame, min_weight: float = 0.0, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each id once, the first by the column `order` where one is named, and edges of at least the least weight."""
     e = edges if min_weight <= 0 else edges.where(F.col("weight") >= min_weight)
-    return nodes.dropDuplicates(["id"]), e.dropDuplicates(["id"])
+
+    def first(rows: DataFrame) -> DataFrame:
+        if order is None:
+            return rows.dropDuplicates(["id"])
+        return rows.groupBy(F.col("id").alias("_id")).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+
+    return first(nodes), first(e)
+
+
+def validate_extraction(document_id: str, nodes: list) -> None:
+    """An extraction names its document and has at least one node."""
+    if not document_id or not document_id.strip():
+        raise ValueError("an extraction needs a document id")
+    if not nodes:
+        raise ValueError("an extraction needs at least one node")
+
+
+_EXTRACTED = "doc_id string, node_id string, name string, kind string, from_id string, to_id string, relation string, weight double"
+
+
+def extract_with(docs: DataFrame, generate, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an injected extractor: generate(text) gives entities (name, kind) and relations
+    (from, to, kind).  Each document is a node that mentions its entities; ids occur once."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for d, text in zip(batch[id_col].astype(str), batch[text_col], strict=True):
+                entities, relations = generate(text or "")
+                doc = f"doc:{d}"
+                ident = lambda name: f"node:{name.strip().lower()}"
+                validate_extraction(d, [doc, *entities])
+                out.append((d, doc, d, "document", None, None, None, None))
+                for name, kind in entities:
+                    out.append((d, ident(name), name, kind, None, None, None, None))
+                    out.append((d, None, None, None, doc, ident(name), "mentions", 1.0))
+                out.extend((d, None, None, None, ident(a), ident(b), kind, 1.0) for a, b, kind in relations)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _EXTRACTED.split(", ")])
+
+    rows = cut(docs.select(id_col, text_col).mapInPandas(run, _EXTRACTED))
+    nodes = rows.where("node_id is not null").groupBy(F.col("node_id").alias("id")).agg(F.min("name").alias("name"), F.min("kind").alias("type"))
+    edge = rows.where("from_id is not null").groupBy("from_id", "to_id", F.col("relation").alias("type")).agg(F.max("weight").alias("weight"))
+    return nodes, edge.withColumn("id", F.concat_ws(":", "from_id", "type", "to_id"))

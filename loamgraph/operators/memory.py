@@ -31,21 +31,24 @@ def save_knowledge(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def search_knowledge(chunk_postings: DataFrame, pieces: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """(knowledge_id, score, snippet): score is the number of (term, chunk) matches.
+    """(knowledge_id, score, snippet, chunk_nos): score is the number of (term, chunk) matches.
 
     Postings are (id: struct knowledge_id, chunk_no; term; tf); the snippet is the first matched chunk.
     """
     terms = T.query_tokens(query)
     hit = chunk_postings.where(F.col("term").isin(terms)).select("id.knowledge_id", "id.chunk_no")
-    best = hit.groupBy("knowledge_id").agg(F.count("*").alias("score"), F.min("chunk_no").alias("chunk_no")).orderBy(F.desc("score"), "knowledge_id").limit(k)
+    best = hit.groupBy("knowledge_id").agg(F.count("*").alias("score"), F.min("chunk_no").alias("chunk_no"), F.sort_array(F.collect_set("chunk_no")).alias("chunk_nos"))
+    # the k best, whose number is bounded, go to the chunks
+    best = F.broadcast(best.orderBy(F.desc("score"), "knowledge_id").limit(k))
     text = pieces.select("knowledge_id", "chunk_no", T.truncate(F.col("content"), 200).alias("snippet"))
-    return best.join(text, ["knowledge_id", "chunk_no"], "left").select("knowledge_id", "score", "snippet")
+    return text.join(best, ["knowledge_id", "chunk_no"]).select("knowledge_id", "score", "snippet", "chunk_nos")
 
 
-def latest(rows: DataFrame, key: str = "id", time: str = "updated_at") -> DataFrame:
-    """The last written row of each key."""
-    order = W.partitionBy(key).orderBy(F.desc_nulls_last(time), F.desc(F.xxhash64(*rows.columns)))
-    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+def latest(rows: DataFrame, key: str = "id", time: str = "updated_at", then: str | None = None) -> DataFrame:
+    """The last written row of each key, of equal times the one of the largest `then`; combined before the shuffle."""
+    order = F.struct(F.col(time).isNotNull(), F.col(time), F.col(then) if then else F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]))
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
+    return best.select("_row.*")
 
 
 def alive(expires_at: Column, now: Column) -> Column:
@@ -56,13 +59,28 @@ def sweep(rows: DataFrame, now: Column) -> DataFrame:
     return rows.where(alive(F.col("expires_at"), now))
 
 
-def bucket(rows: DataFrame, scope: str, owner: str, namespace: str = "default") -> DataFrame:
-    b = F.col("bucket")
-    return rows.where((b["scope"] == scope) & (b["owner"] == owner) & (b["namespace"] == namespace))
+def bucket_of(scope: str = "", user_id: str = "", session_id: str = "", namespace: str = "") -> tuple[str, str, str]:
+    """(scope, owner, namespace).  Without a scope it is the session's, else the user's, else everybody's."""
+    scope, namespace = scope.strip().lower(), namespace or "default"
+    if not scope:
+        scope = "session" if session_id.strip() else "user" if user_id.strip() else "global"
+    if scope not in ("global", "user", "session"):
+        raise ValueError(f"unsupported memory scope: {scope}")
+    owner = {"global": "", "user": user_id, "session": session_id}[scope]
+    if scope != "global" and not owner.strip():
+        raise ValueError(f"{scope}_id is required for {scope} scope")
+    return scope, owner, namespace
+
+
+def bucket(rows: DataFrame, scope: str = "", user_id: str = "", session_id: str = "", namespace: str = "") -> DataFrame:
+    """The memories of one bucket, out of rows with scope, user_id, session_id and namespace."""
+    scope, owner, namespace = bucket_of(scope, user_id, session_id, namespace)
+    mine = (F.col("scope") == scope) & (F.coalesce("namespace", F.lit("default")) == namespace)
+    return rows.where(mine if scope == "global" else mine & (F.col(f"{scope}_id") == owner))
 
 
 def search_memory(
-    memories: DataFrame, now: Column, *, query: str = "", vector: Sequence[float] | None = None, k: int = 10, weights: tuple[float, float, float, float] = (0, 0, 0, 0), half_life_hours: float = 168.0
+    memories: DataFrame, now: Column, *, query: str = "", vector: Sequence[float] | None = None, k: int = 5, weights: tuple[float, float, float, float] = (0, 0, 0, 0), half_life_hours: float = 168.0
 ) -> DataFrame:
     """(id, semantic, lexical, importance, recency, score) of one bucket's memories, best first.
 
@@ -79,8 +97,8 @@ def search_memory(
         top = memories.select("id", F.lit(0.0).alias("semantic")).limit(0)
     if terms:
         found = fulltext.bm25(fulltext.postings(memories), terms, memories.count())
-        most = F.max("score").over(W.partitionBy(F.lit(1)))
-        words = found.withColumn("lexical", F.col("score") / most).select("id", "lexical")
+        # one row, whatever the data
+        words = found.crossJoin(F.broadcast(found.agg(F.max("score").alias("_most")))).select("id", (F.col("score") / F.col("_most")).alias("lexical"))
     else:
         words = memories.select("id", F.lit(0.0).alias("lexical")).limit(0)
     joined = top.join(words, "id", "full").join(base, "id").where(alive(F.col("expires_at"), now))
@@ -99,6 +117,12 @@ def history(messages: DataFrame, n: int, session: str = "session_id", order: Seq
     return messages.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n).drop("_r")
 
 
+def episodes(turns: DataFrame, session: str = "session_id", order: str = "turn") -> DataFrame:
+    """exchanges() as memories (id, session_id, role, content): the id is episode:<session>:<number>."""
+    x = exchanges(turns, session, order)
+    return x.select(F.concat(F.lit("episode:"), F.col(session).cast("string"), F.lit(":"), F.col("exchange").cast("string")).alias("id"), F.col(session).cast("string").alias("session_id"), F.lit("episode").alias("role"), "content")
+
+
 def exchanges(turns: DataFrame, session: str = "session_id", order: str = "turn") -> DataFrame:
     """(session, exchange, content, n): turns up to each answer that is not alone, as "[role] text" lines.
 
@@ -117,7 +141,7 @@ def exchanges(turns: DataFrame, session: str = "session_id", order: str = "turn"
     closes = F.col("_answer") & F.when(first_alone == 1, F.col("_i") % 2 == 0).otherwise(F.col("_i") % 2 == 1)
     marked = run.withColumn("_closes", closes)
     ident = F.coalesce(F.sum(F.col("_closes").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    line = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("text"))
+    line = F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("] "), F.coalesce("text", F.lit("")))
     grouped = marked.withColumn("exchange", ident).groupBy(session, "exchange").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("x"))
     return grouped.select(session, F.col("exchange").cast("int").alias("exchange"), F.array_join("x.line", "\n").alias("content"), F.size("x").alias("n"))
 

@@ -10,6 +10,14 @@ from loamgraph.functions import text as T
 from loamgraph.functions import vectors as V
 
 
+#: Utterances of all routes that a broadcast takes; more are joined in blocks by the planner's choice.
+MOST_UTTERANCES = 10_000
+
+
+def _sized(routes: DataFrame) -> DataFrame:
+    return F.broadcast(routes) if routes.count() <= MOST_UTTERANCES else routes
+
+
 def _best(scored: DataFrame, threshold: float) -> DataFrame:
     """The route of the largest score of each query; ties go to the first route."""
     route = scored.groupBy("query_id", "route", "place").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("score"))
@@ -19,8 +27,7 @@ def _best(scored: DataFrame, threshold: float) -> DataFrame:
 
 def semantic(queries: DataFrame, routes: DataFrame, threshold: float = 0.75) -> DataFrame:
     """queries (query_id, vector), routes (route, place, utterance vector)."""
-    # routes are written by hand; a plan hint would fix what statistics decide here
-    pairs = queries.crossJoin(routes.select("route", "place", F.col("vector").alias("u")))
+    pairs = queries.crossJoin(_sized(routes.select("route", "place", F.col("vector").alias("u"))))
     return _best(pairs.select("query_id", "route", "place", V.cosine(F.col("vector"), F.col("u")).alias("s")), threshold)
 
 
@@ -28,7 +35,7 @@ def lexical(queries: DataFrame, routes: DataFrame, threshold: float = 0.3) -> Da
     """queries (query_id, text), routes (route, place, utterance)."""
     q = queries.select("query_id", F.array_distinct(T.ascii_tokens(F.col("text"))).alias("q"))
     r = routes.select("route", "place", F.array_distinct(T.ascii_tokens(F.col("utterance"))).alias("u"))
-    return _best(q.crossJoin(r).select("query_id", "route", "place", T.jaccard(F.col("q"), F.col("u")).alias("s")), threshold)
+    return _best(q.crossJoin(_sized(r)).select("query_id", "route", "place", T.jaccard(F.col("q"), F.col("u")).alias("s")), threshold)
 
 
 def hybrid(semantic_hits: DataFrame, lexical_hits: DataFrame, weight: float = 0.7, threshold: float = 0.75) -> DataFrame:

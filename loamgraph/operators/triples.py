@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions import scalars as S
+from loamgraph.sources.store import cut
 
 SCHEMA = "s string, p string, o string, kind_o string, datatype string, language string, graph string, inferred boolean"
 RDF, RDFS, SH = S.NAMESPACES["rdf"], S.NAMESPACES["rdfs"], "http://www.w3.org/ns/shacl#"
@@ -30,8 +31,21 @@ def with_id(t: DataFrame) -> DataFrame:
 
 
 def upsert(t: DataFrame, new: DataFrame) -> DataFrame:
-    """Triples of equal (s, p, o) are one; datatype and language don't tell them apart."""
-    return t.join(new.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(*t.columns).unionByName(new.dropDuplicates(["s", "p", "o"]))
+    """Triples of equal (s, p, o) are one; datatype and language don't tell them apart.  Of several new ones
+    the last by the column `position` counts, where there is one."""
+    if "position" in new.columns:
+        new = new.groupBy("s", "p", "o").agg(F.max_by(F.struct(*t.columns), "position").alias("_row")).select("_row.*")
+    return t.join(new.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(*t.columns).unionByName(new.dropDuplicates(["s", "p", "o"]).select(*t.columns))
+
+
+def delete(t: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
+    """Without the triples that match."""
+    gone = match(t, s, p, o).select("s", "p", "o").distinct()
+    return t.join(gone, ["s", "p", "o"], "left_anti").select(*t.columns)
+
+
+def count(t: DataFrame) -> DataFrame:
+    return t.select("s", "p", "o").distinct().agg(F.count("*").alias("count"))
 
 
 def match(t: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None, kind: str | None = None, graph: str | None = None, inferred: bool | None = None, limit: int | None = None) -> DataFrame:
@@ -116,9 +130,7 @@ def rdfs_infer(t: DataFrame, max_iter: int = 1) -> DataFrame:
 
     One pass by default; more until nothing is new.
     """
-    spark = t.sparkSession
     known = t.select("s", "p", "o").distinct()
-    keep = spark.sparkContext.getCheckpointDir() is not None
     start = known
     for _ in range(max_iter):
         before = known
@@ -140,8 +152,7 @@ def rdfs_infer(t: DataFrame, max_iter: int = 1) -> DataFrame:
         for rule, end in ((DOMAIN, "s"), (RANGE, "o")):
             a, b = known.alias("a"), is_a(rule).alias("b")
             add(a.join(b, F.col("a.p") == F.col("b.s")).select(F.col(f"a.{end}").alias("s"), F.lit(TYPE).alias("p"), F.col("b.o").alias("o")))
-        if keep:
-            known = known.checkpoint()
+        known = cut(known)
         if max_iter > 1 and known.join(before, ["s", "p", "o"], "left_anti").isEmpty():
             break
     return known.join(start, ["s", "p", "o"], "left_anti")
@@ -180,9 +191,20 @@ def shacl_validate(t: DataFrame) -> DataFrame:
 _LINE = r'^<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s+\.$'
 
 
-def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of all well-formed lines; comments, blank and other lines give none."""
+def import_ntriples(spark: SparkSession, text: str) -> tuple[DataFrame, int]:
+    """The triples of a text up to its first malformed line, and their number."""
+    lines = spark.createDataFrame(list(enumerate(text.split("\n"))), "position long, value string")
+    found = cut(parse_ntriples(lines, position="position"))
+    return found, found.count()
+
+
+def parse_ntriples(lines: DataFrame, column: str = "value", position: str | None = None) -> DataFrame:
+    """Triples of all well-formed lines; comments and blank lines give none.  With a column of positions the
+    lines from the first malformed one on give none either; without one malformed lines alone are left out."""
     line = F.trim(F.col(column))
+    if position is not None:
+        bad = lines.where((line != "") & ~line.startswith("#") & ~line.rlike(_LINE)).agg(F.min(position).alias("_bad"))
+        lines = lines.crossJoin(F.broadcast(bad)).where(F.col("_bad").isNull() | (F.col(position) < F.col("_bad"))).drop("_bad")
     part = lambda i: F.regexp_extract(line, _LINE, i)
     some = lambda c: F.when(c != "", c)
     is_iri = line.rlike(r"^<[^>]*>\s+<[^>]*>\s+<")
@@ -230,6 +252,15 @@ class Ontology:
                     self.fact(node, SH + k, str(rule[k]))
         return self
 
+    def define_sub_property(self, name: str, parent: str) -> Ontology:
+        return self.relation(name, SUB_PROPERTY, parent)
+
+    def typed_fact(self, s: str, p: str, value: str, datatype: str) -> Ontology:
+        return self.fact(s, p, value, datatype)
+
+    def query(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
+        return match(self.triples(), s, p, o)
+
     def add_type(self, s: str, cls: str) -> Ontology:
         return self.relation(s, TYPE, cls)
 

@@ -42,32 +42,27 @@ def metadata_exists(metadata: Column, keys: Sequence[str]) -> Column:
 def top_k(
     rows: DataFrame, query: Sequence[float], k: int, *, metric: str = "cosine", threshold: float | None = 0.0, id_col: str = "id", vector_col: str = "vector", where: Column | None = None, filter_mode: str = "post"
 ) -> DataFrame:
-    """The k best rows with their `score`; `where` filters them after the cut ("post") or before ("pre")."""
-    if k <= 0:
-        k = 10
+    """The k best rows with their `score`, all for k <= 0; `where` filters them after the cut ("post") or
+    before ("pre")."""
     if where is not None and filter_mode == "pre":
         rows = rows.where(where)
     scored = rows.withColumn("score", V.score(F.col(vector_col), V.literal(query), metric))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    best = scored.orderBy(F.desc("score"), id_col).limit(k)
+    best = scored.orderBy(F.desc("score"), id_col)
+    best = best.limit(k) if k > 0 else best
     return best.where(where) if where is not None and filter_mode == "post" else best
 
 
-def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", threshold: float | None = None, blocks: int = 64) -> DataFrame:
-    """(query_id, id, score, rank) for every query at once.
+def batch_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) by cosine for every query at once; rows are (id, vector), queries
+    (query_id, query).
 
-    Rows are (id, vector), queries (query_id, query).  Rows are dealt to blocks and every query meets
-    every block once, keeping its k best there; only these are ranked over all blocks.
+    Blocks of rows meet blocks of queries in Arrow batches as one product of normalised matrices, and only the k
+    best of each meeting are ranked over all blocks.
     """
-    r = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    q = queries.select("query_id", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    scored = q.join(r, "block").withColumn("score", V.score(F.col("query"), F.col("vector"), metric))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    local = scored.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "block").orderBy(F.desc("score"), "id"))).where(F.col("_r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    some = F.array(F.lit(0))
+    return _best_of(rows.withColumn("keys", some), queries.withColumn("keys", some), k, lambda a, b: np.ones((len(a), len(b)), bool), False)
 
 
 def fetch(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -160,7 +155,13 @@ def _best_of(rows: DataFrame, queries: DataFrame, k: int, match: Callable[[np.nd
     kinds = [pa.int64() if dict(t.dtypes)[c] == "bigint" else pa.int32() if dict(t.dtypes)[c] == "int" else pa.string() for t, c in ((queries, "query_id"), (rows, "id"))]
 
     def unit(v: pa.ChunkedArray) -> np.ndarray:
-        x = np.array(v.to_pylist(), float)
+        flat = v.combine_chunks()
+        flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
+        size = np.diff(flat.offsets.to_numpy())
+        if len(size) and (size == size[0]).all() and not flat.null_count:
+            x = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(size), -1)
+        else:
+            x = np.array(v.to_pylist(), float)
         size = np.linalg.norm(x, axis=1)[:, None]
         return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.functions import scalars as S
@@ -42,9 +41,9 @@ def _first(rows: DataFrame, id_: int = 0) -> list[float]:
     return [float(x) for x in rows.where(F.col("id") == id_).first()["vector"]]
 
 
-def _every(rows: DataFrame) -> DataFrame:
-    """Every row as a query."""
-    return rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+def _asked(rows: DataFrame) -> DataFrame:
+    """The queries of searches over many rows: every row whose id is divisible by 20, asked of all rows."""
+    return rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
 
 
 def _r(c: str, digits: int = 6):
@@ -78,8 +77,7 @@ def vector_topk_dot(spark, d):
 @query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE {_COS} >= 0.2")
 def vector_threshold(spark, d):
     rows = _vectors(spark, d)
-    scored = rows.withColumn("score", V.cosine(F.col("vector"), V.literal(_first(rows))))
-    return scored.where("score >= 0.2").select("id", _r("score"))
+    return VS.top_k(rows, _first(rows), 0, threshold=0.2).select("id", _r("score"))
 
 
 @query(f"SELECT id, score FROM (SELECT vec_id AS id, label, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE {_COS} >= 0 ORDER BY {_COS} DESC, vec_id LIMIT 20) WHERE label = 3")
@@ -98,12 +96,11 @@ def vector_prefilter(spark, d):
     """SELECT query_id, id, round(s, 6) AS score, rank::INTEGER AS rank FROM (
     SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
-    FROM embeddings a, embeddings b WHERE a.label = 0) WHERE rank <= 5"""
+    FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5"""
 )
 def vector_batch_topk(spark, d):
     rows = _vectors(spark, d)
-    queries = rows.where("label = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    return VS.batch_top_k(rows, queries, 5, blocks=8).select("query_id", "id", _r("score"), F.col("rank").cast("int").alias("rank"))
+    return VS.batch_top_k(rows, _asked(rows), 5).select("query_id", "id", _r("score"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
@@ -116,7 +113,7 @@ def vector_fetch(spark, d):
 def ivf_search(spark, d):
     rows = _vectors(spark, d)
     centres = VS.centroids(rows)
-    return VS.ivf_batch(VS.ivf_index(rows, centres), centres, _every(rows), 10).select("query_id", "id", _r("score"), "rank")
+    return VS.ivf_batch(VS.ivf_index(rows, centres), centres, _asked(rows), 10).select("query_id", "id", _r("score"), "rank")
 
 
 @query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 10")
@@ -130,13 +127,13 @@ def ivf_search_all_cells(spark, d):
 def lsh_search(spark, d):
     rows = _vectors(spark, d)
     planes = VS.hyperplanes(len(_first(rows)), planes=8)
-    return VS.lsh_batch(rows, planes, _every(rows), 10).select("query_id", "id", _r("score"), "rank")
+    return VS.lsh_batch(rows, planes, _asked(rows), 10).select("query_id", "id", _r("score"), "rank")
 
 
 @query()
 def multi_index(spark, d):
     rows = _vectors(spark, d)
-    q = _every(rows)
+    q = _asked(rows)
     centres = VS.centroids(rows)
     index = VS.ivf_index(rows, centres)
     parts = {"flat": VS.ivf_batch(index, centres, q, 20, probes=len(centres)), "ivf": VS.ivf_batch(index, centres, q, 20)}
@@ -254,6 +251,10 @@ def _content(spark, d):
     return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def _index(spark, d) -> fulltext.TextIndex:
+    return fulltext.stored(f"{d}/documents", _content(spark, d))
+
+
 def _bm25(hits: str, name: str = "bm25") -> str:
     return f"""hits AS ({hits}), df AS (SELECT query_term, count(*) AS df FROM hits GROUP BY query_term),
     {name} AS (SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2)), 9) AS score FROM hits JOIN df USING (query_term), (SELECT count(*) AS n FROM documents) GROUP BY id)"""
@@ -269,30 +270,25 @@ def fts_postings(spark, d):
 
 @query(f"WITH {_POSTINGS}, {_bm25(_HITS)} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20")
 def fts_bm25(spark, d):
-    docs = _content(spark, d)
-    return fulltext.search(fulltext.postings(docs), _QUERY, docs.count(), k=20).select("id", _r("score"))
+    return _index(spark, d).search(_QUERY, k=20).select("id", _r("score"))
 
 
 @query(f"WITH {_POSTINGS}, {_bm25("SELECT '*' AS query_term, id, sum(tf) AS tf FROM postings WHERE starts_with(term, 'tion') GROUP BY id")} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20")
 def fts_prefix(spark, d):
-    docs = _content(spark, d)
-    return fulltext.search(fulltext.postings(docs), "tion*", docs.count(), k=20).select("id", _r("score"))
+    return _index(spark, d).search("tion*", k=20).select("id", _r("score"))
 
 
 @query(f"WITH {_POSTINGS} SELECT id, sum(tf)::DOUBLE AS score FROM postings WHERE term IN ('onen', 'reer') GROUP BY id HAVING count(*) = 2 ORDER BY score DESC, id LIMIT 20")
 def fts_phrase(spark, d):
-    docs = _content(spark, d)
-    return fulltext.search(fulltext.postings(docs), '"onen reer"', docs.count(), k=20, is_phrase=True)
+    return _index(spark, d).search('"onen reer"', k=20, is_phrase=True)
 
 
 @query(
-    f"""WITH {_POSTINGS}, near AS (SELECT term FROM (SELECT DISTINCT term FROM postings WHERE regexp_full_match(term, '[a-z0-9_]+')) WHERE levenshtein(term, 'onenr') <= 1),
+    f"""WITH {_POSTINGS}, near AS (SELECT term FROM (SELECT DISTINCT term FROM postings) WHERE levenshtein(term, 'onenr') <= 1),
     {_bm25("SELECT 'onenr' AS query_term, id, sum(tf) AS tf FROM postings JOIN near USING (term) GROUP BY id")} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20"""
 )
 def fts_fuzzy(spark, d):
-    docs = _content(spark, d)
-    index = fulltext.postings(docs).where(F.col("term").rlike("^[a-z0-9_]+$"))
-    return fulltext.search(index, "onenr", docs.count(), k=20, fuzzy=1).select("id", _r("score"))
+    return _index(spark, d).search("onenr", k=20, fuzzy=1).select("id", _r("score"))
 
 
 _VEC = f"vec AS (SELECT vec_id AS id, {_COS} AS score FROM embeddings, {_Q} WHERE {_COS} >= 0 ORDER BY score DESC, id LIMIT 30)"
@@ -302,8 +298,8 @@ _RRF = """ranked AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY
 
 
 def _both(spark, d):
-    rows, docs = _vectors(spark, d), _content(spark, d)
-    return VS.top_k(rows, _first(rows), 30), fulltext.search(fulltext.postings(docs), _QUERY, docs.count(), k=30)
+    rows = _vectors(spark, d)
+    return VS.top_k(rows, _first(rows), 30), _index(spark, d).search(_QUERY, k=30)
 
 
 @query(f"WITH {_POSTINGS}, {_bm25(_HITS)}, {_VEC}, {_RRF} SELECT id, round(score, 6) AS score FROM fused")
@@ -318,8 +314,8 @@ def rrf_per_doc_limit(spark, d):
 
 
 def _candidates(spark, d):
-    docs = _content(spark, d)
-    return fulltext.search(fulltext.postings(docs), _QUERY, docs.count(), k=30).join(docs, "id")
+    # 30 rows at most
+    return _content(spark, d).join(F.broadcast(_index(spark, d).search(_QUERY, k=30)), "id")
 
 
 def _rerank_sql() -> str:
@@ -327,7 +323,7 @@ def _rerank_sql() -> str:
     for t in ["onen", "tion"]:
         tf = f"((length(low) - length(replace(low, '{t}', ''))) / {len(t)}::DOUBLE)"
         n = f"greatest(sum(CASE WHEN {tf} > 0 THEN 1 ELSE 0 END) OVER (), 1)"
-        parts.append(f"ln((count(*) OVER () - {n} + 0.5) / ({n} + 0.5) + 1) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * strlen(text) / avg(strlen(text)) OVER ()))")
+        parts.append(f"ln((count(*) OVER () - {n} + 1) / {n}::DOUBLE + 1) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * strlen(text) / avg(strlen(text)) OVER ()))")
     return " + ".join(parts)
 
 
@@ -350,26 +346,45 @@ def rerank_cosine(spark, d):
 # --- knowledge and memory ---------------------------------------------------------------------------------
 
 
-@query()
+# a chunk of 500 characters ends behind the last sentence sign of its second half; the next begins 125 earlier
+_SIGNS = "(?s)^.*[。！？\n.!?]"
+
+
+def _chunk_end(start: str) -> str:
+    last = f"length(regexp_extract(substring(d.text, {start} + 252, 248), '{_SIGNS}'))"
+    return f"(CASE WHEN {start} + 500 >= length(d.text) THEN length(d.text) WHEN {last} > 0 THEN {start} + 251 + {last} ELSE {start} + 500 END)"
+
+
+_CHUNKS = f"""c AS (SELECT doc_id AS id, 0::BIGINT AS no, 0::BIGINT AS b, {_chunk_end("0")}::BIGINT AS e FROM documents d WHERE length(text) > 0
+    UNION ALL SELECT id, no + 1, b, {_chunk_end("b")} FROM (SELECT id, no, CASE WHEN e - 125 > b THEN e - 125 ELSE e END AS b FROM c) n JOIN documents d ON d.doc_id = n.id WHERE b < length(d.text))"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT id AS knowledge_id, count(*) AS n_chunks, max(e)::INTEGER AS last_end FROM c GROUP BY id")
 def chunk_stats(spark, d):
     c = memory.chunks(_content(spark, d))
     return c.groupBy("knowledge_id").agg(F.count("*").alias("n_chunks"), F.max("end").alias("last_end"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CHUNKS}, piece AS (SELECT id, no, substring(text, b + 1, e - b) AS content FROM c JOIN documents ON doc_id = id),
+    kept AS (SELECT id, no, w FROM (SELECT id, no, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM piece) WHERE strlen(w) > 1 AND w NOT IN ({_STOP})),
+    same(w, x) AS (VALUES {_EXPANDED}), hit AS (SELECT DISTINCT id, no, coalesce(x, w) AS term FROM kept LEFT JOIN same USING (w)),
+    best AS (SELECT id, count(*) AS score, min(no) AS no, list_sort(list(DISTINCT no)) AS nos FROM hit WHERE term IN ({_terms(_QUERY)}) GROUP BY id ORDER BY score DESC, id LIMIT 20)
+    SELECT id AS knowledge_id, score, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS snippet, nos::INTEGER[]::VARCHAR AS chunk_nos FROM best JOIN piece USING (id, no)"""
+)
 def knowledge_search(spark, d):
     pieces = memory.chunks(_content(spark, d))
     index = fulltext.postings(pieces.select(F.struct("knowledge_id", "chunk_no").alias("id"), "content"))
-    return memory.search_knowledge(index, pieces, _QUERY, 20)
+    return memory.search_knowledge(index, pieces, _QUERY, 20).withColumn("chunk_nos", F.concat(F.lit("["), F.array_join(F.col("chunk_nos").cast("array<string>"), ", "), F.lit("]")))
 
 
 _NOW = "2024-02-01 00:00:00"
 _MEM = f"""mem AS (SELECT event_id AS id, event_type || ' note' AS content, coalesce(value, 0) / 100 AS importance, greatest(0, (epoch(TIMESTAMP '{_NOW}') - epoch(ts)) / 3600) AS hours,
-    coalesce(value, 0)::DOUBLE AS v, CASE WHEN event_id % 3 = 0 THEN epoch(ts) + 86400 * 20 END AS expires FROM events WHERE user_id % 10 = 1)"""
+    coalesce(value, 0)::DOUBLE AS v, CASE WHEN event_id % 3 = 0 THEN epoch(ts) + 86400 * 20 END AS expires FROM events)"""
 
 
 def _memories(spark, d):
-    e = _table(spark, d, "events").where("user_id % 10 = 1").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = _table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.select(
         F.col("event_id").alias("id"),
         F.concat("event_type", F.lit(" note")).alias("content"),
@@ -387,15 +402,16 @@ def _now():
 
 @query(
     f"""WITH {_MEM}, sem AS (SELECT id, (30 * v + 100) / (sqrt(v * v + 100) * sqrt(1000)) AS semantic FROM mem WHERE 30 * v + 100 > 0 ORDER BY semantic DESC, id LIMIT 80),
-    tf AS (SELECT id FROM mem WHERE contains(content, 'click')), n AS (SELECT (SELECT count(*) FROM mem) AS n, (SELECT count(*) FROM tf) AS df),
-    lex AS (SELECT id, 1.0::DOUBLE AS lexical FROM tf),
+    tf AS (SELECT id, w AS term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS w FROM mem) WHERE w IN ('click', 'note') GROUP BY ALL),
+    idf AS (SELECT term, ln(((SELECT count(*) FROM mem) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf GROUP BY term),
+    words AS (SELECT id, round(sum(idf * tf * 2.2 / (tf + 1.2)), 9) AS score FROM tf JOIN idf USING (term) GROUP BY id), lex AS (SELECT id, score / (SELECT max(score) FROM words) AS lexical FROM words),
     j AS (SELECT coalesce(sem.id, lex.id) AS id, coalesce(semantic, 0) AS semantic, coalesce(lexical, 0) AS lexical FROM sem FULL JOIN lex ON sem.id = lex.id)
     SELECT id, round(0.6 * semantic + 0.25 * lexical + 0.1 * greatest(0, least(1, importance)) + 0.05 / (1 + hours / 168), 6) AS score
     FROM j JOIN mem USING (id) WHERE expires IS NULL OR expires >= epoch(TIMESTAMP '{_NOW}')
     ORDER BY 0.6 * semantic + 0.25 * lexical + 0.1 * greatest(0, least(1, importance)) + 0.05 / (1 + hours / 168) DESC, id LIMIT 20"""
 )
 def memory_search(spark, d):
-    return memory.search_memory(_memories(spark, d), _now(), query="click", vector=[30.0, 10.0], k=20).select("id", _r("score"))
+    return memory.search_memory(_memories(spark, d), _now(), query="click note", vector=[30.0, 10.0], k=20).select("id", _r("score"))
 
 
 @query(f"WITH {_MEM} SELECT id FROM mem WHERE expires IS NULL OR expires >= epoch(TIMESTAMP '{_NOW}')")
@@ -405,9 +421,7 @@ def memory_ttl(spark, d):
 
 @query("SELECT event_id AS id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_wins(spark, d):
-    e = _table(spark, d, "events")
-    order = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return e.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(F.col("event_id").alias("id"), "user_id")
+    return memory.latest(_table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select(F.col("event_id").alias("id"), "user_id")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
@@ -415,7 +429,13 @@ def session_history(spark, d):
     return memory.history(_table(spark, d, "conversations"), 3, "conv_id", ["turn"]).select("conv_id", "turn", "role")
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    walk AS (SELECT conv_id, turn, n, role, text, 0 AS exchange, 1 AS held FROM t WHERE n = 1
+    UNION ALL SELECT t.conv_id, t.turn, t.n, t.role, t.text, CASE WHEN w.role = 'assistant' AND w.held >= 2 THEN exchange + 1 ELSE exchange END,
+    CASE WHEN w.role = 'assistant' AND w.held >= 2 THEN 1 ELSE held + 1 END FROM walk w JOIN t ON t.conv_id = w.conv_id AND t.n = w.n + 1)
+    SELECT conv_id, exchange::INTEGER AS exchange, string_agg('[' || coalesce(role, '') || '] ' || coalesce(text, ''), chr(10) ORDER BY turn) AS content, count(*)::INTEGER AS n FROM walk GROUP BY conv_id, exchange"""
+)
 def transcript_exchanges(spark, d):
     return memory.exchanges(_table(spark, d, "conversations"), "conv_id", "turn")
 
@@ -498,7 +518,7 @@ def graph_shortest_path(spark, d):
     return spark.createDataFrame(list(enumerate(found[0])), "at int, id string")
 
 
-@query()
+@query(f"WITH {_EDGES}, path AS (SELECT o.from_id AS a, o.to_id AS b, c.to_id AS e, n.to_id AS f FROM edges o JOIN edges c ON o.to_id = c.from_id JOIN edges n ON c.to_id = n.from_id WHERE o.from_id = 'o7') SELECT unnest(range(4))::INTEGER AS at, unnest([a, b, e, f]) AS id FROM path")
 def graph_dfs(spark, d):
     return spark.createDataFrame(list(enumerate(graph.dfs(_edges(spark, d), "o7", 3))), "at int, id string")
 
@@ -508,7 +528,7 @@ def graph_dfs(spark, d):
     SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM ends GROUP BY id ORDER BY degree DESC, id LIMIT 10"""
 )
 def graph_top_degree(spark, d):
-    return graph.degrees(_edges(spark, d)).orderBy(F.desc("degree"), "id").limit(10)
+    return graph.top_nodes(_edges(spark, d), 10)
 
 
 @query(f"WITH {_EDGES}, n AS (SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges) SELECT nn AS n_nodes, ne AS n_edges, round(2.0 * ne / (nn::DOUBLE * (nn - 1)), 9) AS density, 0::BIGINT AS isolated FROM (SELECT count(*) AS nn FROM n), (SELECT count(*) AS ne FROM edges)")
@@ -543,9 +563,9 @@ def co_occurrence(spark, d):
     return graph.co_occurrence(_table(spark, d, "documents"))
 
 
-@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][A-Za-z0-9_-]{1,}\\b'))) AS name FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][A-Za-z0-9_-]{1,}\\b'))) AS name FROM documents")
 def entity_names(spark, d):
-    return _table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(T.entity_names(F.col("text"))).alias("name"))
+    return _table(spark, d, "documents").select("doc_id", F.explode(T.entity_names(F.col("text"))).alias("name"))
 
 
 # --- triples ----------------------------------------------------------------------------------------------
@@ -587,15 +607,56 @@ def sparql_ask(spark, d):
     return triples.sparql(_triples(spark, d), f"ASK {{ ?n rdfs:subClassOf <{_EX}region1> }}")
 
 
-@query(f"WITH {_TRIPLES} SELECT DISTINCT a.s, a.p, b.o FROM t a JOIN t b ON a.o = b.s WHERE a.p = '{triples.TYPE}' AND b.p = '{triples.SUB_CLASS}'")
+_STRING = S.NAMESPACES["xsd"] + "string"
+_MORE = f"""m AS (SELECT s, p, o, kind_o FROM t UNION ALL SELECT '{_EX}region' || r_regionkey, '{triples.SUB_CLASS}', '{_EX}Place', 'iri' FROM region
+    UNION ALL VALUES ('{_EX}segment', '{triples.SUB_PROPERTY}', '{_EX}trait', 'iri'), ('{_EX}trait', '{triples.SUB_PROPERTY}', '{_EX}feature', 'iri'),
+    ('{_EX}trait', '{triples.DOMAIN}', '{_EX}Customer', 'iri'), ('{_EX}lives', '{triples.RANGE}', '{_EX}Nation', 'iri')
+    UNION ALL SELECT '{_EX}customer' || c_custkey, '{_EX}lives', '{_EX}nation' || c_nationkey, 'iri' FROM customer
+    UNION ALL SELECT '{_EX}customer' || c_custkey, '{_EX}balance', c_acctbal::VARCHAR, 'literal' FROM customer WHERE c_acctbal > 0)"""
+
+
+def _more_triples(spark, d):
+    """_triples() with what sets off all rules of inference and of shapes."""
+    t, c, r = _triples(spark, d), _table(spark, d, "customer"), _table(spark, d, "region")
+    who = F.concat(F.lit(_EX + "customer"), F.col("c_custkey").cast("string"))
+    part = lambda rows, s, p, o, kind: rows.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("kind_o"))
+    more = part(r, F.concat(F.lit(_EX + "region"), F.col("r_regionkey").cast("string")), triples.SUB_CLASS, F.lit(_EX + "Place"), "iri")
+    more = more.unionByName(part(c, who, _EX + "lives", F.concat(F.lit(_EX + "nation"), F.col("c_nationkey").cast("string")), "iri"))
+    more = more.unionByName(part(c.where("c_acctbal > 0"), who, _EX + "balance", F.col("c_acctbal").cast("string"), "literal"))
+    o = triples.Ontology(spark).define_sub_property(_EX + "segment", _EX + "trait").define_sub_property(_EX + "trait", _EX + "feature")
+    o = o.relation(_EX + "trait", triples.DOMAIN, _EX + "Customer").relation(_EX + "lives", triples.RANGE, _EX + "Nation")
+    return t.unionByName(more, allowMissingColumns=True).unionByName(o.triples())
+
+
+def _rdfs_sql() -> str:
+    """The rules one after another, each over all that those before it found."""
+    rules = [
+        f"SELECT a.s, '{triples.SUB_CLASS}' AS p, b.o FROM {{k}} a JOIN {{k}} b ON a.o = b.s WHERE a.p = '{triples.SUB_CLASS}' AND b.p = a.p AND a.s <> b.o",
+        f"SELECT a.s, a.p, b.o FROM {{k}} a JOIN {{k}} b ON a.o = b.s WHERE a.p = '{triples.TYPE}' AND b.p = '{triples.SUB_CLASS}'",
+        f"SELECT a.s, a.p, b.o FROM {{k}} a JOIN {{k}} b ON a.o = b.s WHERE a.p = '{triples.SUB_PROPERTY}' AND b.p = a.p AND a.s <> b.o",
+        f"SELECT a.s, b.o AS p, a.o FROM {{k}} a JOIN {{k}} b ON a.p = b.s WHERE b.p = '{triples.SUB_PROPERTY}'",
+        f"SELECT a.s, '{triples.TYPE}' AS p, b.o FROM {{k}} a JOIN {{k}} b ON a.p = b.s WHERE b.p = '{triples.DOMAIN}'",
+        f"SELECT a.o AS s, '{triples.TYPE}' AS p, b.o FROM {{k}} a JOIN {{k}} b ON a.p = b.s WHERE b.p = '{triples.RANGE}'",
+    ]
+    parts = ["k0 AS (SELECT DISTINCT s, p, o FROM m)"] + [f"k{i + 1} AS (SELECT s, p, o FROM k{i} UNION {r.format(k=f'k{i}')})" for i, r in enumerate(rules)]
+    return ", ".join(parts)
+
+
+@query(f"WITH {_TRIPLES}, {_MORE}, {_rdfs_sql()} SELECT s, p, o FROM k6 EXCEPT SELECT s, p, o FROM k0")
 def rdfs_infer(spark, d):
-    return triples.rdfs_infer(_triples(spark, d))
+    return triples.rdfs_infer(_more_triples(spark, d))
 
 
-@query(f"WITH {_TRIPLES} SELECT s AS node, 'pattern' AS rule, o AS value FROM t WHERE p = '{_EX}segment' AND NOT contains(o, 'I') AND s IN (SELECT s FROM t WHERE p = '{triples.TYPE}' AND o = '{_EX}nation3')")
+@query(
+    f"""WITH {_TRIPLES}, {_MORE}, node AS (SELECT s FROM m WHERE p = '{triples.TYPE}' AND o = '{_EX}nation3')
+    SELECT s AS node, '{_EX}shape/property/0' AS shape, p AS path, 'pattern' AS rule, o AS value FROM m WHERE p = '{_EX}segment' AND NOT contains(o, 'I') AND s IN (SELECT s FROM node)
+    UNION ALL SELECT s, '{_EX}shape/property/1', '{_EX}balance', 'minCount', '0' FROM node WHERE s NOT IN (SELECT s FROM m WHERE p = '{_EX}balance')
+    UNION ALL SELECT s, '{_EX}shape/property/2', p, 'datatype', o FROM m WHERE p = '{_EX}lives' AND s IN (SELECT s FROM node)"""
+)
 def shacl_validate(spark, d):
-    shape = triples.Ontology(spark).define_shape(_EX + "shape", _EX + "nation3", [{"path": _EX + "segment", "pattern": "I", "minCount": 1}]).triples()
-    return triples.shacl_validate(_triples(spark, d).unionByName(shape)).select("node", "rule", "value")
+    rules = [{"path": _EX + "segment", "pattern": "I", "minCount": 1}, {"path": _EX + "balance", "minCount": 1}, {"path": _EX + "lives", "datatype": _STRING}]
+    shape = triples.Ontology(spark).define_shape(_EX + "shape", _EX + "nation3", rules).triples()
+    return triples.shacl_validate(_more_triples(spark, d).unionByName(shape)).select("node", "shape", "path", "rule", "value")
 
 
 @query(f"WITH {_TRIPLES} SELECT s, left(sha256(s || '|' || p || '|' || o), 16) AS id FROM t")
@@ -630,14 +691,17 @@ def route_lexical(spark, d):
     return routing.lexical(q, _routes(spark)).select("query_id", "route", _r("score"), "matched")
 
 
-@query(
-    """WITH r AS (SELECT 'label' || label AS route, label AS place, embedding AS u FROM embeddings WHERE vec_id < 20),
-    s AS (SELECT vec_id AS query_id, route, place, greatest(max(list_cosine_similarity(embedding::DOUBLE[], u::DOUBLE[])), 0) AS s FROM embeddings, r GROUP BY ALL)
-    SELECT query_id, route, round(s, 6) AS score, s >= 0.75 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, place) AS n FROM s) WHERE n = 1"""
-)
+#: Utterances of the routes by vector: their route, its place and the vector that says it.
+_SAID = [(f"topic{i % 5}", i % 5, i) for i in range(20)]
+_SAID_VALUES = ", ".join(f"('{r}', {p}, {i})" for r, p, i in _SAID)
+_SEMANTIC = """s AS (SELECT vec_id AS query_id, route, place, greatest(max(list_cosine_similarity(embedding::DOUBLE[], u::DOUBLE[])), 0) AS s FROM embeddings, r GROUP BY ALL),
+    sem AS (SELECT query_id, route, s AS score, s >= 0.75 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, place) AS n FROM s) WHERE n = 1)"""
+
+
+@query(f"WITH said(route, place, id) AS (VALUES {_SAID_VALUES}), r AS (SELECT route, place, embedding AS u FROM said JOIN embeddings ON vec_id = id), {_SEMANTIC} SELECT query_id, route, round(score, 6) AS score, matched FROM sem")
 def route_semantic(spark, d):
     rows = _vectors(spark, d)
-    routes = rows.where("id < 20").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("route"), F.col("label").alias("place"), "vector")
+    routes = spark.createDataFrame(_SAID, "route string, place int, id long").join(rows, "id").select("route", "place", "vector")
     return routing.semantic(rows.select(F.col("id").alias("query_id"), "vector"), routes).select("query_id", "route", _r("score"), "matched")
 
 
@@ -645,7 +709,19 @@ def route_semantic(spark, d):
 _ROUTE_VECTORS = [("places", 0, 0), ("things", 1, 1), ("people", 2, 2)]
 
 
-@query()
+_HYBRID_VALUES = ", ".join(f"('{r}', {p}, {i})" for r, p, i in _ROUTE_VECTORS)
+
+
+@query(
+    f"""WITH said(route, place, id) AS (VALUES {_HYBRID_VALUES}), r AS (SELECT route, place, embedding AS u FROM said JOIN embeddings ON vec_id = id), {_SEMANTIC},
+    q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), w(route, place, u) AS (VALUES {_ROUTE_VALUES}),
+    x AS (SELECT query_id, route, place, len(list_intersect(q, u))::DOUBLE / (len(q) + len(u) - len(list_intersect(q, u))) AS s FROM q, w),
+    lex AS (SELECT query_id, route, s AS score, s >= 0.3 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, place) AS n FROM x) WHERE n = 1),
+    j AS (SELECT query_id, sem.route AS a, lex.route AS b, sem.score AS sa, lex.score AS sb, sem.matched AS ma, lex.matched AS mb, sem.matched AND lex.matched AND sem.route = lex.route AS agree,
+    CASE WHEN sem.matched THEN 0.7 * sem.score ELSE 0 END >= CASE WHEN lex.matched THEN 0.3 * lex.score ELSE 0 END AS first FROM sem JOIN lex USING (query_id))
+    SELECT query_id, CASE WHEN agree OR first THEN a ELSE b END AS route, round(CASE WHEN agree THEN 0.7 * sa + 0.3 * sb WHEN first THEN sa ELSE sb END, 6) AS score,
+    CASE WHEN agree THEN 0.7 * sa + 0.3 * sb >= 0.75 WHEN first THEN ma ELSE mb END AS matched FROM j"""
+)
 def route_hybrid(spark, d):
     rows = _vectors(spark, d)
     q = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")

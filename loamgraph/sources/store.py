@@ -1,16 +1,42 @@
 """Tables of one engine as Parquet folders under a root: append, replace, delete, back up, count.
 
-A write goes to a new version folder and then changes the table's pointer, so that readers and failed
-jobs never see half a table.  Appends add files to the current version.
+A write goes to a new version folder, which counts once it is complete, so that readers and failed
+jobs never see half a table.  The version before stays for those that read it; older ones go.
+Appends add files to the current version.
 """
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and the
+    master is local, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="loamgraph-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint."""
+    work_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+#: Columns that tell the rows of a table apart, where it isn't the id.
+KEYS = {"triples": ["s", "p", "o"]}
+
 SCHEMAS = {
     "collections": "id string, name string, created_at timestamp",
     "embeddings": "id string, collection string, doc_id string, vector array<float>, content string, metadata map<string,string>, acl array<string>, created_at timestamp",
@@ -66,13 +92,16 @@ class Engine:
         old = self._version(table)
         number = int(old[1:11]) + 1 if old else 0
         self._fit(table, rows).write.parquet(f"{self.root}/{table}/v{number:010d}-{uuid.uuid4().hex[:8]}")
-        if old:
-            fs, p = self._files(f"{self.root}/{table}/{old}")
-            fs.delete(p, True)
+        fs, p = self._files(f"{self.root}/{table}")
+        for v in sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("v")):
+            if old and v < old:
+                fs.delete(self._files(f"{self.root}/{table}/{v}")[1], True)
 
-    def upsert(self, table: str, rows: DataFrame, key: str = "id") -> None:
-        new = self._fit(table, rows)
-        self.replace(table, self.read(table).join(new.select(key), key, "left_anti").unionByName(new))
+    def upsert(self, table: str, rows: DataFrame, key: str | Sequence[str] | None = None) -> None:
+        """Rows in place of those of the same key; of several new ones of a key one is taken."""
+        keys = [key] if isinstance(key, str) else list(key or KEYS.get(table, ["id"]))
+        new = self._fit(table, rows).dropDuplicates(keys)
+        self.replace(table, self.read(table).join(new.select(*keys), keys, "left_anti").unionByName(new))
 
     def delete(self, table: str, where: Column) -> None:
         self.replace(table, self.read(table).where(~F.coalesce(where, F.lit(False))))
@@ -89,12 +118,26 @@ class Engine:
         self.append("embeddings", texts.where(F.trim("content") != "").withColumn("vector", embed(F.col("content"))))
 
     def create_collection(self, name: str) -> None:
-        if not self.read("collections").where(F.col("name") == name).isEmpty():
+        """A name is taken by creating its file, which the file system does for one caller alone."""
+        fs, p = self._files(f"{self.root}/_names/{hashlib.sha256(name.encode()).hexdigest()}")
+        if not fs.createNewFile(p):
             raise ValueError(f"there is a collection {name}")
         self.append("collections", self.spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("created_at")))
 
+    def collections(self) -> DataFrame:
+        return self.read("collections").orderBy("name")
+
+    def collection(self, name: str) -> DataFrame:
+        """The collection's row; an unknown name is an error."""
+        row = self.read("collections").where(F.col("name") == name)
+        if row.isEmpty():
+            raise KeyError(f"there is no collection {name}")
+        return row
+
     def delete_collection(self, name: str) -> None:
         self.delete("collections", F.col("name") == name)
+        fs, p = self._files(f"{self.root}/_names/{hashlib.sha256(name.encode()).hexdigest()}")
+        fs.delete(p, False)
         self.delete("embeddings", F.col("collection") == name)
 
     def delete_session(self, session_id: str) -> None:

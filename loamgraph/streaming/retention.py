@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-OUTPUT = "session_id long, at long, n int, content string"
+OUTPUT = "session_id {kind}, at long, n int, content string"
 
 
 def auto_retain(messages: DataFrame, every: int = 2, window: int = 6, roles: Sequence[str] = ("user", "assistant"), session: str = "session_id", order: str = "turn") -> DataFrame:
@@ -24,15 +24,21 @@ def auto_retain(messages: DataFrame, every: int = 2, window: int = 6, roles: Seq
     line = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.coalesce("content", F.lit("")))
     d = d.withColumn("_w", F.collect_list(line).over(last))
     hit = d.where(counted & (F.col("_c") % every == 0))
-    return hit.select(F.col(session).cast("long").alias("session_id"), F.col(order).cast("long").alias("at"), F.size("_w").alias("n"), F.array_join("_w", "\n").alias("content"))
+    return hit.select(F.col(session).alias("session_id"), F.col(order).cast("long").alias("at"), F.size("_w").alias("n"), F.array_join("_w", "\n").alias("content"))
 
 
-def auto_retain_stream(messages: DataFrame, every: int = 2, window: int = 6, roles: Sequence[str] = ("user", "assistant")) -> DataFrame:
+def auto_retain_stream(messages: DataFrame, every: int = 2, window: int = 6, roles: Sequence[str] = ("user", "assistant"), idle_ms: int | None = None) -> DataFrame:
     """As auto_retain() over a stream of (session_id, turn, role, content): the state of a session is its
-    counter and its last messages, a bounded number.  Turns must come in order between batches."""
+    counter and its last messages, a bounded number.  Turns must come in order between batches.  With
+    idle_ms, for queries that go on without end, the state of a session that says nothing for so long goes, and
+    the session begins anew; without it, as for queries that end with their input, states stay."""
     wanted = set(roles)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["session_id", "at", "n", "content"])
+            return
         count, last = (state.get[0], list(state.get[1])) if state.exists else (0, [])
         out = []
         rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
@@ -43,9 +49,11 @@ def auto_retain_stream(messages: DataFrame, every: int = 2, window: int = 6, rol
                 if count % every == 0:
                     out.append((key[0], turn, len(last), "\n".join(last)))
         state.update((count, last))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "at", "n", "content"])
 
-    return messages.groupBy("session_id").applyInPandasWithState(step, OUTPUT, "count long, last array<string>", "append", "NoTimeout")
+    return messages.groupBy("session_id").applyInPandasWithState(step, OUTPUT.format(kind=dict(messages.dtypes)["session_id"]), "count long, last array<string>", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def last_seen(messages: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def test_indexes_find_true_neighbours(spark):
         got = {}
         for r in registry.QUERIES[name](spark, DATA).collect():
             got.setdefault(r["query_id"], set()).add(r["id"])
-        assert got.keys() == true.keys() and all(len(g) == 10 for g in got.values())
-        assert sum(len(got[i] & t) for i, t in true.items()) >= 0.9 * 10 * len(true), name
+        assert got.keys() == {i for i in true if i % 20 == 0} and all(len(g) == 10 for g in got.values())
+        assert sum(len(g & true[i]) for i, g in got.items()) >= 0.9 * 10 * len(got), name
 
 
 def test_full_text(spark):
@@ -176,7 +176,12 @@ def test_graph(spark):
     d = spark.createDataFrame([(1, "Alice and Bob work on the Apollo project at Google.")], "doc_id int, text string")
     assert sorted(r["name"] for r in graph.extract_mentions(d).collect()) == ["Alice", "Apollo", "Bob", "Google"]
     assert graph.co_occurrence(d).count() == 0
-    assert "Alice" in graph.report({"n_nodes": 1}, [("Alice", 3)], "markdown")
+    for style in ("text", "markdown", "html"):
+        assert "B (2)" in graph.report(n, e, style) and "Nodes: 5" in graph.report(n, e, style)
+    chain = spark.createDataFrame([(str(i), i, i + 1, "t") for i in range(8)] + [("a", 0, 2, "z"), ("b", 0, 2, "y")], "id string, from_id int, to_id int, type string")
+    assert graph.shortest_path(chain, 0, 8) == ([0, *range(2, 9)], ["b", *map(str, range(2, 8))])
+    with pytest.raises(ValueError):
+        graph.dfs(chain, 0, 3, most=1)
 
 
 def test_triples(spark):
