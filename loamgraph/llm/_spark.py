@@ -111,6 +111,14 @@ def text_input(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     return docs.select(*columns, docs[text].cast("string").alias("text"))
 
 
+def with_text(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """The columns and the text as a string, and under which name it is there: its own where that column is
+    among them and a string, so that no text goes to Python twice."""
+    if "text" in columns and dict(docs.dtypes)["text"] == "string":
+        return docs.select(*columns), "text"
+    return docs.select(*columns, F.col("text").cast("string").alias("_text")), "_text"
+
+
 def text_key(text_column: str = "text") -> F.Column:
     """A 64-bit identity of a text; null and empty texts share one."""
     return F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))

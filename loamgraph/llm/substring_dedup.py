@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import Scratch, any_columns, cut, documents, join_groups, text_input, text_key
+from loamgraph.llm._spark import Scratch, any_columns, cut, documents, join_groups, text_input, text_key, with_text
 from loamgraph.llm._text import chunks, mix, segment_hash, window_hashes, winnow, word_hashes, words
 
 #: Words of a passage that is to be found.
@@ -236,11 +236,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return passages(docs, length).select("doc_id", "start_word", "end_word", "removed", "longest")
 
 
-def _cut_batches(columns: list[str]):
+def _cut_batches(columns: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in chunks(batch, "_text"):
-                texts = part.column("_text").to_pylist()
+            for part, data, off in chunks(batch, text):
+                texts = part.column(text).to_pylist()
                 spans = part.column("_spans")
                 if spans.null_count < len(spans):
                     starts, ends, word_off = words(data, off)
@@ -269,9 +269,9 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     given = docs["doc_id"].cast("long")
     d = docs.withColumn("_k", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn("_null", given.isNull()).withColumn("_id", F.coalesce(given, F.lit(0).cast("long")))
     joined = join_groups(d, spans, ["_k", "_null", "_id"], "_copies", [F.monotonically_increasing_id()], "left")
-    joined = joined.select(*docs.columns, F.col("text").cast("string").alias("_text"), "_spans")
+    joined, text = with_text(joined.select(*docs.columns, "_spans"), [*docs.columns, "_spans"])
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    out = joined.mapInArrow(_cut_batches(docs.columns), f"{fields}, _whole boolean")
+    out = joined.mapInArrow(_cut_batches(docs.columns, text), f"{fields}, _whole boolean")
     out = out.where(F.col("_whole") | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
