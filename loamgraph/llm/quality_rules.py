@@ -4,11 +4,12 @@ A word becomes two tokens: itself in lower case, and its shape (letters, capital
 beyond ASCII as one class each, every run as one; other bytes as they are), marked where the word
 repeats the one before it.  The 1-, 2- and 3-grams of a document's words and those of its shapes
 are hashed to BUCKETS.  Two multinomials
-are estimated, the raw one with add-one smoothing over all documents, the target one, which
-starts from PRIOR n-grams in the raw one's shares, over at
+are estimated, the raw one over all documents, the target one over at
 most `trusted_docs` documents that `labels` trusts (quality 1 in all of a document's labels; those
-with the smallest hash of doc_id).  A document's score is the mean over its n-grams of
-log(p_target / p_raw); it is kept where that is at least THRESHOLD nats per n-gram.
+with the smallest hash of doc_id).  A bucket's log ratio is log((t + PRIOR) / (e + PRIOR)), where t is its
+n-grams in the target and e those to be expected there by its share of the raw corpus; so n-grams too rare
+to tell weigh little.  A document's score is the mean over its n-grams; it is kept where that
+is at least THRESHOLD nats per n-gram.
 
 Whole texts and all n-grams count.  Null, empty and wordless texts have no n-gram: their score is
 0 and they are rejected.  Without any trusted document there is no target: every score is 0 and
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import any_columns, documents, named, text_input
+from loamgraph.llm._spark import any_columns, documents, named, text_input, with_text
 from loamgraph.llm._text import byte_table, chunks, lower_bytes, segment_hash, text_of, window_hashes, word_hashes, words
 
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3)
 TRUSTED_DOCS = 20_000
 THRESHOLD = -0.6
-#: N-grams of the raw distribution that the target one starts from.
-PRIOR = 1_000.0
+#: N-grams of a bucket that speak neither for nor against it.
+PRIOR = 5.0
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = 97
@@ -94,7 +95,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
 
 
 def ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS) -> np.ndarray:
-    """log(p_target / p_raw) of every bucket."""
+    """log(p_target / p_raw), smoothed, of every bucket."""
     d = text_input(docs, "doc_id")
     # the trusted ids are at most `most` longs, so their broadcast has a bounded size
     d = d.join(F.broadcast(trusted_ids(labels, most)), d["doc_id"].cast("long") == F.col("t_id"), "left")
@@ -105,8 +106,8 @@ def ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS) -> np.n
     target[rows["bucket"]] = rows["target"]
     if not target.any():
         return np.zeros(BUCKETS)
-    r = (raw + 1) / (raw.sum() + BUCKETS)
-    return np.log((target + PRIOR * r) / (target.sum() + PRIOR)) - np.log(r)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def score_texts(data: np.ndarray, off: np.ndarray, llr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +117,10 @@ def score_texts(data: np.ndarray, off: np.ndarray, llr: np.ndarray) -> tuple[np.
     return np.bincount(text, weights=llr[g], minlength=len(off) - 1) / np.maximum(n, 1), n
 
 
-def _score_batches(columns: list[str], llr, threshold: float, filtering: bool):
+def _score_batches(columns: list[str], text: str, llr, threshold: float, filtering: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in chunks(batch, "_text"):
+            for part, data, off in chunks(batch, text):
                 score, n = score_texts(data, off, llr.value)
                 keep = (score >= threshold) & (n > 0)
                 arrays = [part.column(c) for c in columns]
@@ -136,8 +137,8 @@ def _apply(docs: DataFrame, labels: DataFrame, columns: list[str], filtering: bo
     fields = [f"`{c}` {t}" for c, t in docs.select(*columns).dtypes]
     if not filtering:
         fields += ["score double", "ngrams long", "keep boolean"]
-    d = docs.select(*columns, F.col("text").cast("string").alias("_text"))
-    return d.mapInArrow(_score_batches(columns, llr, threshold, filtering), ", ".join(fields))
+    d, text = with_text(docs, columns)
+    return d.mapInArrow(_score_batches(columns, text, llr, threshold, filtering), ", ".join(fields))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:

@@ -132,13 +132,18 @@ def test_quality_is_brute_force(spark):
     d = frame(spark, good + junk)
     labels = spark.createDataFrame([(i, 1) for i in range(15)] + [(100, 0), (None, 1), (16, None)], "doc_id long, quality int")
     grams = {i: quality_rules.buckets(*arrays([t]))[0] for i, t in good + junk}
+    for i, t in good + junk:  # one bucket for each equal n-gram of words, and of shapes, and about as many as there are
+        w = t.lower().split()
+        kinds = {tuple(w[a : a + n]) for n in (1, 2, 3) for a in range(len(w) - n + 1)}
+        shape = [re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", x)))) + "=" * (k > 0 and w[k] == w[k - 1]) for k, x in enumerate(t.split())]
+        kinds |= {(0, *shape[a : a + n]) for n in (1, 2, 3) for a in range(len(w) - n + 1)}
+        assert len(grams[i]) == 6 * len(w) - 6 and len(kinds) - 3 <= len(set(grams[i].tolist())) <= len(kinds)
     raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
     for i, g in grams.items():
         np.add.at(raw, g, 1)
         if i < 15:
             np.add.at(target, g, 1)
-    share = (raw + 1) / (raw.sum() + len(raw))
-    llr = np.log((target + quality_rules.PRIOR * share) / (target.sum() + quality_rules.PRIOR) / share)
+    llr = np.log((target + quality_rules.PRIOR) / (raw * target.sum() / raw.sum() + quality_rules.PRIOR))
     for r in quality_rules.quality_scores(d, labels).collect():
         assert r["score"] == pytest.approx(llr[grams[r["doc_id"]]].mean())
         assert r["ngrams"] == len(grams[r["doc_id"]])
