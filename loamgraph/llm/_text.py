@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
