@@ -30,6 +30,24 @@ def save_knowledge(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("id"), "id", "left_anti").unionByName(merged.select(*old.columns))
 
 
+def update(rows: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with the non-null values of the patch of their key in place of their own; maps are merged, the patch's
+    entries first; patches of unknown keys change nothing."""
+    names = [c for c in patch.columns if c != key]
+    p = patch.dropDuplicates([key]).select(key, *[F.col(c).alias(f"_p_{c}") for c in names])
+    kinds = dict(rows.dtypes)
+
+    def value(c: str) -> Column:
+        if c not in names:
+            return F.col(c)
+        if kinds[c].startswith("map<"):
+            mine = F.map_filter(F.col(c), lambda k, v: ~F.coalesce(F.map_contains_key(f"_p_{c}", k), F.lit(False)))
+            return F.when(F.col(f"_p_{c}").isNull(), F.col(c)).when(F.col(c).isNull(), F.col(f"_p_{c}")).otherwise(F.map_concat(mine, f"_p_{c}"))
+        return F.coalesce(F.col(f"_p_{c}"), F.col(c))
+
+    return rows.join(p, key, "left").select(*[value(c).alias(c) for c in rows.columns])
+
+
 def search_knowledge(chunk_postings: DataFrame, pieces: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(knowledge_id, score, snippet, chunk_nos): score is the number of (term, chunk) matches.
 

@@ -424,6 +424,27 @@ def latest_wins(spark, d):
     return memory.latest(_table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select(F.col("event_id").alias("id"), "user_id")
 
 
+@query("SELECT event_id AS id FROM events WHERE user_id = 1 AND event_type = 'click'")
+def memory_scope(spark, d):
+    e = _table(spark, d, "events")
+    rows = e.select(F.col("event_id").alias("id"), F.lit("user").alias("scope"), F.col("user_id").cast("string").alias("user_id"), F.lit("").alias("session_id"), F.col("event_type").alias("namespace"))
+    return memory.bucket(rows, "user", user_id="1", namespace="click").select("id")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'seen' ELSE event_type || ' note' END AS content FROM events")
+def memory_update(spark, d):
+    patch = _table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("id"), F.lit("seen").alias("content"), F.lit(None).cast("double").alias("importance"))
+    return memory.update(_memories(spark, d), patch).select("id", "content")
+
+
+@query("SELECT doc_id AS id, CASE WHEN source = 'src1' THEN 2 ELSE 1 END AS version, lang, CASE WHEN source = 'src1' THEN source END AS src, CASE WHEN source = 'src1' THEN 'new' ELSE 'old' END AS content FROM documents")
+def knowledge_update(spark, d):
+    docs = _table(spark, d, "documents")
+    rows = lambda t, key, word: t.select(F.col("doc_id").alias("id"), F.lit(1).alias("version"), F.lit(_NOW).cast("timestamp").alias("created_at"), F.create_map(F.lit(key[0]), F.col(key[1])).alias("metadata"), F.lit(word).alias("content"))
+    saved = memory.save_knowledge(rows(docs, ("lang", "lang"), "old"), rows(docs.where("source = 'src1'"), ("src", "source"), "new"))
+    return saved.select("id", "version", F.try_element_at("metadata", F.lit("lang")).alias("lang"), F.try_element_at("metadata", F.lit("src")).alias("src"), "content")
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
 def session_history(spark, d):
     return memory.history(_table(spark, d, "conversations"), 3, "conv_id", ["turn"]).select("conv_id", "turn", "role")

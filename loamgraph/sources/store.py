@@ -44,6 +44,7 @@ SCHEMAS = {
     "sessions": "id string, name string, metadata map<string,string>, created_at timestamp, updated_at timestamp",
     "messages": "id string, session_id string, role string, content string, metadata map<string,string>, created_at timestamp",
     "knowledge": "id string, collection string, title string, content string, source_url string, author string, metadata map<string,string>, entities array<string>, version int, created_at timestamp, updated_at timestamp",
+    "chunks": "id string, knowledge_id string, collection string, chunk_no int, content string",
     "memories": "id string, user_id string, session_id string, scope string, namespace string, role string, content string, vector array<float>, metadata string, importance double, ttl_seconds int, expires_at timestamp, created_at timestamp, updated_at timestamp",
     "graph_nodes": "id string, type string, labels array<string>, properties map<string,string>, created_at timestamp",
     "graph_edges": "id string, from_id string, to_id string, type string, weight double, properties map<string,string>, created_at timestamp",
