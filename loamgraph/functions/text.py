@@ -285,14 +285,15 @@ def distinct(values) -> list[str]:
 
 
 def chunk_spans(text: str, size: int = 500, overlap: int = 125) -> list[tuple[int, int]]:
-    """(start, end) of overlapping chunks that end at a sentence where one ends in their second half."""
+    """(start, end) of overlapping chunks that end at a sentence where one ends in their second half; the
+    chunk's last character doesn't count, so an earlier sign cuts a chunk that ends with one anyway."""
     size = size if size > 0 else 500
     overlap = overlap if 0 <= overlap < size else size // 4
     out, at, n = [], 0, len(text)
     while at < n:
         end = min(at + size, n)
         if end < n:
-            cut = max(text.rfind(c, at + size // 2 + 1, end) for c in "。！？\n.!?")
+            cut = max(text.rfind(c, at + size // 2 + 1, end - 1) for c in "。！？\n.!?")
             end = cut + 1 if cut >= 0 else end
         out.append((at, end))
         at = end - overlap if end - overlap > at else end

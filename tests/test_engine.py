@@ -92,6 +92,43 @@ def test_indexes_find_true_neighbours(spark):
         assert sum(len(g & true[i]) for i, g in got.items()) >= 0.9 * 10 * len(got), name
 
 
+def naive_chunks(text, size, overlap):
+    out, at = [], 0
+    while at < len(text):
+        end = best = min(at + size, len(text))
+        if at + size < len(text):
+            for i in range(end - 1, at + size // 2, -1):
+                if text[i] in "。！？\n.!?":
+                    best = i + 1
+                    if best != end:
+                        break
+        out.append((at, best))
+        at = best - overlap if best - overlap > at else best
+    return out
+
+
+def test_chunks_are_the_loop():
+    r = random.Random(3)
+    for size, overlap in [(500, 125), (30, 5), (8, 0), (3, 1), (1, 0)]:
+        for _ in range(300):
+            text = "".join(r.choices("xyz。.\n", [9, 9, 9, 1, 1, 1], k=r.randint(0, 4 * size)))
+            assert T.chunk_spans(text, size, overlap) == naive_chunks(text, size, overlap)
+
+
+@pytest.mark.parametrize("name", ["chunk_stats"])
+def test_chunks_of_signs_at_their_ends(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    # the 500th character is a sign, with and without another one in the chunk's second half
+    texts = ["onen " * 60 + "tion. " + "x" * 193 + "." + " onen tion" * 60, "x" * 499 + "." + " onen" * 90, "tion " * 99 + "tion!" + " onen" * 40, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(registry.ORACLE[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(found.fetchall())
+
+
 def test_full_text(spark):
     docs = spark.createDataFrame([("1", "machine learning and machine learning"), ("2", "machine learning"), ("3", "the quick brown fox jumps over the lazy dog"), ("4", "js"), ("5", None)], "id string, content string")
     index = fulltext.postings(docs)
