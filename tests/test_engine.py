@@ -115,7 +115,7 @@ def test_chunks_are_the_loop():
             assert T.chunk_spans(text, size, overlap) == naive_chunks(text, size, overlap)
 
 
-@pytest.mark.parametrize("name", ["chunk_stats"])
+@pytest.mark.parametrize("name", ["chunk_stats", "knowledge_search"])
 def test_chunks_of_signs_at_their_ends(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     # the 500th character is a sign, with and without another one in the chunk's second half
