@@ -4,9 +4,8 @@ A word becomes two tokens: itself in lower case, and its shape (letters, capital
 beyond ASCII as one class each, every run as one; other bytes as they are), marked where the word
 repeats the one before it.  The 1-, 2- and 3-grams of a document's words and those of its shapes
 are hashed to BUCKETS.  Two multinomials
-are estimated, the raw one over all documents, the target one over at
-most `trusted_docs` documents that `labels` trusts (quality 1 in all of a document's labels; those
-with the smallest hash of doc_id).  A bucket's log ratio is log((t + PRIOR) / (e + PRIOR)), where t is its
+are estimated, the raw one over all documents, the target one over all documents
+that `labels` trusts (quality 1 in all of a document's labels).  A bucket's log ratio is log((t + PRIOR) / (e + PRIOR)), where t is its
 n-grams in the target and e those to be expected there by its share of the raw corpus; so n-grams too rare
 to tell weigh little.  A document's score is the mean over its n-grams; it is kept where that
 is at least THRESHOLD nats per n-gram.
@@ -27,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._spark import any_columns, documents, named, text_input, with_text
+from loamgraph.llm._spark import any_columns, cut, documents, named, text_input, with_text
 from loamgraph.llm._text import byte_table, chunks, lower_bytes, segment_hash, text_of, window_hashes, word_hashes, words
 
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3)
-TRUSTED_DOCS = 20_000
 THRESHOLD = -0.6
 #: N-grams of a bucket that speak neither for nor against it.
 PRIOR = 5.0
+#: Trusted ids beyond which they are no longer broadcast but joined by a shuffle, with the same rows.
+BROADCAST_IDS = 1 << 20
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = 97
@@ -88,17 +88,17 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """At most `most` doc_ids that every label of theirs calls good; the same ones every time."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids that every label of theirs calls good."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("t_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"))
-    return good.where("q = 1").orderBy(F.xxhash64("t_id"), "t_id").limit(most).select("t_id")
+    return good.where("q = 1").select("t_id")
 
 
-def ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS) -> np.ndarray:
+def ratios(docs: DataFrame, labels: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> np.ndarray:
     """log(p_target / p_raw), smoothed, of every bucket."""
-    d = text_input(docs, "doc_id")
-    # the trusted ids are at most `most` longs, so their broadcast has a bounded size
-    d = d.join(F.broadcast(trusted_ids(labels, most)), d["doc_id"].cast("long") == F.col("t_id"), "left")
+    d, trusted = text_input(docs, "doc_id"), cut(trusted_ids(labels))
+    few = trusted.count() <= broadcast_ids
+    d = d.join(trusted.hint("broadcast" if few else "shuffle_hash"), d["doc_id"].cast("long") == F.col("t_id"), "left")
     counted = d.select(F.col("t_id").isNotNull().alias("trusted"), "text").mapInArrow(_count_batches, "bucket long, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -132,8 +132,8 @@ def _score_batches(columns: list[str], text: str, llr, threshold: float, filteri
     return run
 
 
-def _apply(docs: DataFrame, labels: DataFrame, columns: list[str], filtering: bool, threshold: float, trusted_docs: int) -> DataFrame:
-    llr = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels, trusted_docs))
+def _apply(docs: DataFrame, labels: DataFrame, columns: list[str], filtering: bool, threshold: float) -> DataFrame:
+    llr = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels))
     fields = [f"`{c}` {t}" for c, t in docs.select(*columns).dtypes]
     if not filtering:
         fields += ["score double", "ngrams long", "keep boolean"]
@@ -141,15 +141,15 @@ def _apply(docs: DataFrame, labels: DataFrame, columns: list[str], filtering: bo
     return d.mapInArrow(_score_batches(columns, text, llr, threshold, filtering), ", ".join(fields))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, ngrams, keep) of every document; see the module for all cases."""
-    return _apply(named(docs, "doc_id", "text"), labels, ["doc_id"], False, threshold, trusted_docs)
+    return _apply(named(docs, "doc_id", "text"), labels, ["doc_id"], False, threshold)
 
 
 @any_columns
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that reach the threshold, all columns kept."""
-    return _apply(docs, labels, docs.columns, True, threshold, trusted_docs)
+    return _apply(docs, labels, docs.columns, True, threshold)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,21 @@ def test_quality_is_brute_force(spark):
         assert r["keep"] == (r["doc_id"] < 100)
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    d = frame(spark, [(i * 500, prose(i, 30)) for i in range(60)] + [(40_000 + i, prose(100 + i, 30)) for i in range(20)] + [(None, prose(99, 30))])
+    raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for r in d.collect():
+        g = quality_rules.buckets(*arrays([r["text"]]))[0]
+        np.add.at(raw, g, 1)
+        if r["doc_id"] is not None and r["doc_id"] < 30_000:
+            np.add.at(target, g, 1)
+    llr = np.log((target + quality_rules.PRIOR) / (raw * target.sum() / raw.sum() + quality_rules.PRIOR))
+    assert quality_rules.trusted_ids(labels).count() == 30_000
+    assert np.allclose(quality_rules.ratios(d, labels), llr)
+    assert np.allclose(quality_rules.ratios(d, labels, broadcast_ids=10), llr)
+
+
 def test_quality_edges(spark):
     d = frame(spark, EDGE)
     none = spark.createDataFrame([], "doc_id long, quality int")
