@@ -438,6 +438,54 @@ def test_repeated_rows_keep_their_language(spark):
     assert all(out[i] == name for i, _, name, _, _ in other)
 
 
+@pytest.mark.parametrize("broadcast_repeats", [0, 1 << 18])
+def test_all_documents_teach_their_language(spark, monkeypatch, broadcast_repeats):
+    sounds = {"aa": ["tion", "the", "ing", "er"], "bb": ["sch", "ung", "ein", "ich"]}
+    rows = []
+    for i in range(5200):
+        r, name = random.Random(i), "ab"[i % 2] * 2
+        rows.append((i, " ".join("".join(r.choices(sounds[name], k=2)) for _ in range(r.randint(1, 14) if i % 41 else 200)), name, "s", 1))
+    monkeypatch.setattr(language_id.taught, "__defaults__", (None, broadcast_repeats))
+    names, p, bounds = language_id.fit(spark.createDataFrame(rows + rows[:7] * 30, DOCS), dimensions=256)
+    letters = language_id.letter_vectors(256)
+    code, text = language_id.trigrams(*arrays([r[1] for r in rows]))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    own, count = language_id.bundles_of(code, text, len(rows), letters)
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
+    assert names == ["aa", "bb"]
+    for a in range(2):
+        mine = np.arange(len(rows)) % 2 == a
+        total = own[mine].sum(0, dtype=np.float64)
+        assert np.allclose(p[a], unit(total), atol=1e-6)
+        rest = unit(total - own)
+        at = lambda c, share: np.sort(c)[int(share * (len(c) - 1))]
+        whole = at((own * rest).sum(1)[mine & (count >= language_id.ENOUGH)], language_id.TOLERANCE)
+        for j in range(2, 11):
+            first = rank < 1 << j
+            v, _ = language_id.bundles_of(code[first], text[first], len(rows), letters)
+            c = (v * rest).sum(1)[mine & (count >= 1 << j)]
+            want = min(at(c, 0.5) / 2, at(c, language_id.SHORT_TOLERANCE), whole)
+            assert bounds[a, j] == pytest.approx(want, abs=3e-6), (a, j)
+
+
+def test_beginnings_of_many_kinds_of_trigrams():
+    """The table of bound vectors and the matrix of counts give the same sums."""
+    r = np.random.default_rng(2)
+    letters, sizes = language_id.letter_vectors(128), [0, 3, 4, 700, 90, 0, 5000]
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for kinds in (50, 1 << 18):
+        code = r.integers(0, kinds, len(text))
+        want = lambda use: language_id.sums_of(code[use], text[use], len(sizes), letters)  # noqa: B023, E731
+        rank = np.arange(len(text)) - np.searchsorted(text, text)
+        for most in (language_id._TABLE, 10):
+            language_id._TABLE, before = most, language_id._TABLE
+            whole, found = language_id.beginnings(code, text, len(sizes), letters)
+            language_id._TABLE = before
+            assert (whole == want(rank >= 0)).all() and [j for j, _, _ in found] == list(range(2, 13))
+            for j, rows, v in found:
+                assert rows.tolist() == [i for i, n in enumerate(sizes) if n >= 1 << j] and (v == want(rank < 1 << j)[rows]).all()
+
+
 def test_cosines_are_brute_force():
     """Bundles of bound letter vectors, one trigram and one letter at a time."""
     letters = language_id.letter_vectors(256).astype(int)
