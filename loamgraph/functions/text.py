@@ -53,7 +53,9 @@ def expand(term: str) -> list[str]:
 
 def raw_tokens(text: Column) -> Column:
     """Lower-case words without stop words and without tokens of one byte, with repeats."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORDS), F.lit(0))
+    # in full lower case "İ" is an i and a mark, which would split the word
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("İ"), F.lit("i")))
+    words = F.regexp_extract_all(low, F.lit(_WORDS), F.lit(0))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
 
@@ -84,7 +86,7 @@ def query_tokens(query: str, synonyms: bool = True) -> list[str]:
 
     A canonical phrase counts wherever the query contains its letters.
     """
-    query = query.strip()
+    query = query.strip().replace("İ", "i")
     if len(query) > 1 and query[0] == query[-1] == '"':
         query = query.strip('"')
     if query.endswith("*"):

@@ -52,9 +52,10 @@ def search_knowledge(chunk_postings: DataFrame, pieces: DataFrame, query: str, k
     """(knowledge_id, score, snippet, chunk_nos): score is the number of (term, chunk) matches.
 
     Postings are (id: struct knowledge_id, chunk_no; term; tf); the snippet is the first matched chunk.
+    Chunks of no id have no text to be joined with, so they take none of the k places.
     """
     terms = T.query_tokens(query)
-    hit = chunk_postings.where(F.col("term").isin(terms)).select("id.knowledge_id", "id.chunk_no")
+    hit = chunk_postings.where(F.col("term").isin(terms) & F.col("id.knowledge_id").isNotNull()).select("id.knowledge_id", "id.chunk_no")
     best = hit.groupBy("knowledge_id").agg(F.count("*").alias("score"), F.min("chunk_no").alias("chunk_no"), F.sort_array(F.collect_set("chunk_no")).alias("chunk_nos"))
     # the k best, whose number is bounded, go to the chunks
     best = F.broadcast(best.orderBy(F.desc("score"), "knowledge_id").limit(k))

@@ -129,6 +129,19 @@ def test_chunks_of_signs_at_their_ends(spark, tmp_path, name):
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(found.fetchall())
 
 
+@pytest.mark.parametrize("rows", [[(None, "onen tion search " * 60), (None, "code onen"), *[(i, "tion. " * (i % 7)) for i in range(40)]], [(1, "tİon"), (2, "SEARCH"), (3, "İtion"), (4, "t İon onen")]], ids=["no id", "dotted capital"])
+def test_knowledge_of_odd_rows(spark, tmp_path, rows):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = registry.QUERIES["knowledge_search"](spark, str(tmp_path))
+    found = con.execute(registry.ORACLE["knowledge_search"])
+    columns = [c[0] for c in found.description]
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(found.fetchall())
+    assert T.query_tokens("İstanbul") == ["istanbul"]
+
+
 def test_full_text(spark):
     docs = spark.createDataFrame([("1", "machine learning and machine learning"), ("2", "machine learning"), ("3", "the quick brown fox jumps over the lazy dog"), ("4", "js"), ("5", None)], "id string, content string")
     index = fulltext.postings(docs)
