@@ -168,7 +168,11 @@ def clear_inferred(t: DataFrame) -> DataFrame:
 
 
 def shacl_validate(t: DataFrame) -> DataFrame:
-    """(node, shape, path, rule, value) of every breach of datatype, pattern (a substring) or minCount."""
+    """(node, shape, prop, path, rule, value) of every breach of datatype, pattern (a substring) or minCount.
+
+    `prop` is the property node whose rule is broken; `shape`, as in the reference, is the same node for datatype
+    and pattern, and the whole shape for minCount.
+    """
     get = lambda p, name: t.where(F.col("p") == SH + p).select(F.col("s").alias("of"), F.col("o").alias(name))
     target = get("targetClass", "cls").withColumnRenamed("of", "shape")
     prop = get("property", "prop").withColumnRenamed("of", "shape")
@@ -179,12 +183,12 @@ def shacl_validate(t: DataFrame) -> DataFrame:
     values = t.select(F.col("s").alias("node"), F.col("p").alias("path"), F.col("o").alias("value"), "kind_o", "datatype")
     have = nodes.join(values, ["node", "path"])
     kind = have.join(get("datatype", "want").withColumnRenamed("of", "prop"), "prop").where((F.col("kind_o") != "literal") | ~F.col("datatype").eqNullSafe(F.col("want")))
-    kind = kind.select("node", F.col("prop").alias("shape"), "path", F.lit("datatype").alias("rule"), "value")
+    kind = kind.select("node", F.col("prop").alias("shape"), "prop", "path", F.lit("datatype").alias("rule"), "value")
     text = have.where("kind_o = 'literal'").join(get("pattern", "want").withColumnRenamed("of", "prop"), "prop").where(~F.col("value").contains(F.col("want")))
-    text = text.select("node", F.col("prop").alias("shape"), "path", F.lit("pattern").alias("rule"), "value")
+    text = text.select("node", F.col("prop").alias("shape"), "prop", "path", F.lit("pattern").alias("rule"), "value")
     n = nodes.join(get("minCount", "want").withColumnRenamed("of", "prop"), "prop").join(values.select("node", "path", "value"), ["node", "path"], "left")
-    n = n.groupBy("node", "shape", "path", "want").agg(F.count("value").alias("n")).where(F.col("n") < F.col("want").try_cast("int"))
-    n = n.select("node", "shape", "path", F.lit("minCount").alias("rule"), F.col("n").cast("string").alias("value"))
+    n = n.groupBy("node", "shape", "prop", "path", "want").agg(F.count("value").alias("n")).where(F.col("n") < F.col("want").try_cast("int"))
+    n = n.select("node", "shape", "prop", "path", F.lit("minCount").alias("rule"), F.col("n").cast("string").alias("value"))
     return kind.unionByName(text).unionByName(n)
 
 

@@ -248,6 +248,33 @@ def test_triples(spark):
     assert {r["value"] for r in triples.format_ntriples(t).collect()} == {r["value"] for r in lines.limit(4).collect()}
 
 
+def against_sql(spark, path, name):
+    """The sorted rows of a query over tables under path, and of its SQL."""
+    con = pytest.importorskip("duckdb").connect()
+    for f in os.listdir(path):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{path}/{f}/*.parquet')")
+    df, found = registry.QUERIES[name](spark, str(path)), con.execute(registry.ORACLE[name])
+    columns = [c[0] for c in found.description]
+    rows = lambda x: sorted((tuple(map(norm, r)) for r in x), key=repr)
+    return rows([r[c] for c in columns] for r in df.collect()), rows(found.fetchall())
+
+
+def customers(spark, path, n=40, nations=5):
+    """nation, region and customer with and without a balance."""
+    tables = {"region": spark.range(2).selectExpr("cast(id as int) r_regionkey"), "nation": spark.range(nations).selectExpr("cast(id as int) n_nationkey", "cast(id % 2 as int) n_regionkey")}
+    tables["customer"] = spark.range(n).selectExpr("id c_custkey", f"cast(id % {nations} as int) c_nationkey", "(id % 3 - 1) * 1.5D c_acctbal", "if(id % 2 = 0, 'BUILDING', 'HOUSEHOLD') c_mktsegment")
+    for name, t in tables.items():
+        t.write.parquet(f"{path}/{name}.parquet")
+
+
+def test_shapes_of_each_rule_are_the_sql(spark, tmp_path):
+    customers(spark, tmp_path)
+    got, want = against_sql(spark, tmp_path, "shacl_validate")
+    assert got == want and {r[3] for r in got} == {"pattern", "minCount", "datatype"}
+    o = triples.Ontology(spark).add_type("ex:a", "ex:C").define_shape("ex:shape", "ex:C", [{"path": "ex:mail", "minCount": 1}])
+    assert [(r["shape"], r["prop"]) for r in o.validate().collect()] == [("ex:shape", "ex:shape/property/0")]
+
+
 def test_routing(spark):
     routes = spark.createDataFrame([("greeting", 0, "hello world there you"), ("search", 1, "search documents")], "route string, place int, utterance string")
     q = spark.createDataFrame([(1, "hello world"), (2, "search for documents"), (3, "zzz")], "query_id int, text string")
