@@ -51,13 +51,17 @@ def expand(term: str) -> list[str]:
     return [x for x in dict.fromkeys(out) if x != term]
 
 
-def raw_tokens(text: Column) -> Column:
-    """Lower-case words without stop words and without tokens of one byte, with repeats."""
+def words(text: Column) -> Column:
+    """Lower-case words, with repeats."""
     # in full lower case "İ" is an i and a mark, which would split the word
     low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("İ"), F.lit("i")))
-    words = F.regexp_extract_all(low, F.lit(_WORDS), F.lit(0))
+    return F.regexp_extract_all(low, F.lit(_WORDS), F.lit(0))
+
+
+def raw_tokens(text: Column) -> Column:
+    """Lower-case words without stop words and without tokens of one byte, with repeats."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
 
 
 def _expansions() -> Column:
@@ -69,8 +73,12 @@ def _expansions() -> Column:
 
 def expanded_tokens(text: Column) -> Column:
     """Raw tokens, each followed by its synonyms, with repeats."""
-    table = _expansions()
-    return F.flatten(F.transform(raw_tokens(text), lambda w: F.coalesce(F.try_element_at(table, w), F.array(w))))
+    return F.flatten(F.transform(raw_tokens(text), with_synonyms))
+
+
+def with_synonyms(word: Column) -> Column:
+    """The word, followed by its synonyms."""
+    return F.coalesce(F.try_element_at(_expansions(), word), F.array(word))
 
 
 def tokenize(text: Column) -> Column:

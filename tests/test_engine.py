@@ -159,6 +159,42 @@ def test_full_text(spark):
     assert [round(r["score"], 6) for r in fused] == [0.032522, 0.032522]
 
 
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def wordy(spark, tmp_path_factory):
+    """Documents of many words of which few are asked for, with odd ones among them, and vectors."""
+    path = tmp_path_factory.mktemp("wordy")
+    odd = ["onen ONENR tİon search 搜索 golang code", "检索 程序 erment the " * 300, "oneñ onem nenr tions tional", "", None, "_tion tion_ 1tion onen-tion", "onen reer reer"]
+    texts = odd + [" ".join(f"w{i}x{j}" for j in range(400)) + " onen" * (i % 3) for i in range(50)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, "search tion"), (None, "onen tion")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(40)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["fts_bm25", "fts_fuzzy", "fts_prefix", "fts_phrase", "hybrid_rrf"])
+def test_searches_move_what_they_find_alone(spark, wordy, name):
+    before = shuffled(spark)
+    got, want = against_sql(spark, wordy, name)
+    assert got == want and got
+    assert shuffled(spark) - before < 2000  # there are 20,000 postings
+
+
+@pytest.mark.parametrize("query, fuzzy", [("onen tion search code", 0), ("tion*", 0), ("langauge", 2), ("golnag onen", 2), ("machine learning db", 0), ("数据库", 1)])
+def test_scan_is_the_search_of_all_postings(spark, query, fuzzy):
+    texts = ["onen onen tional the thee", "search language", "golang go 数据库 tion", "machine learning ml js", "large language model llm dbs", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    want = fulltext.search(fulltext.postings(docs), query, len(texts), fuzzy=fuzzy).collect()
+    assert want and fulltext.Scan(docs).search(query, fuzzy=fuzzy).collect() == want
+
+
 def test_text_functions(spark):
     assert T.chunk_spans("x" * 300, 500, 125) == [(0, 300), (175, 300)]
     assert T.bank_id("My Project") == "my-project" and T.bank_id("") == "default" and len(T.bank_id("y" * 60)) == 49
