@@ -6,8 +6,9 @@ Subjects and predicates are IRIs; an object is an "iri" or a "literal".
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions import scalars as S
@@ -125,37 +126,73 @@ def sparql(t: DataFrame, query: str) -> DataFrame:
     return found.select(*[v for v in variables if v in found.columns]) if variables else found.drop("_one")
 
 
+#: Rules (of, to) that go to every task at most; more are joined by their key.  Triples for a task.
+FEW, SHARE = 100_000, 200_000
+
+
+def _rules(rows: DataFrame, p: str) -> DataFrame:
+    return rows.where(F.col("p") == p).select(F.col("s").alias("of"), F.col("o").alias("to"))
+
+
+def _everywhere(rules: DataFrame, many: bool) -> DataFrame:
+    return rules if many else F.broadcast(rules)
+
+
+def _closed(rules: DataFrame) -> tuple[DataFrame, bool]:
+    """Rules with those that two of them make, and whether they are many."""
+    rules = cut(rules.distinct())
+    a, b = rules.alias("a"), _everywhere(rules, rules.count() > FEW).alias("b")
+    two = a.join(b, F.col("a.to") == F.col("b.of")).where(F.col("a.of") != F.col("b.to")).select("a.of", "b.to")
+    out = cut(rules.unionByName(two).distinct())
+    return out, out.count() > FEW
+
+
+def _follow(rows: DataFrame, key: Column, rules: tuple[DataFrame, bool], made: Callable[[Column], tuple]) -> DataFrame:
+    """The rows, each followed by what the rules of its key make of it; no row leaves its task where rules are few,
+    so a predicate that most triples have is dealt like any other."""
+    by = rules[0].groupBy("of").agg(F.collect_list(F.struct("to")).alias("_to"))
+    joined = rows.withColumn("_key", key).join(_everywhere(by, rules[1]), F.col("_key") == F.col("of"), "left")
+    row = lambda s, p, o, fresh: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), fresh.alias("fresh"))
+    own = F.array(row(F.col("s"), F.col("p"), F.col("o"), F.col("fresh")))
+    new = F.transform(F.col("_to"), lambda x: row(*made(x["to"]), F.lit(True)))
+    # explode() would have its array made twice, the first time to see whether it is empty
+    return joined.select(F.explode_outer(F.when(F.col("_to").isNull(), own).otherwise(F.concat(own, new))).alias("r")).select("r.*")
+
+
+def _rdfs_pass(known: DataFrame) -> DataFrame:
+    """(s, p, o, fresh) of all triples known and made, each once; fresh is whether it was made alone."""
+    classes, properties = _closed(_rules(known, SUB_CLASS)), _closed(_rules(known, SUB_PROPERTY))
+
+    def first_four(rows: DataFrame) -> DataFrame:
+        for p, (rules, _) in ((SUB_CLASS, classes), (SUB_PROPERTY, properties)):
+            rows = rows.unionByName(rules.select(F.col("of").alias("s"), F.lit(p).alias("p"), F.col("to").alias("o"), F.lit(True).alias("fresh")))
+        rows = _follow(rows, F.when(F.col("p") == TYPE, F.col("o")), classes, lambda x: (F.col("s"), F.lit(TYPE), x))
+        return _follow(rows, F.col("p"), properties, lambda x: (F.col("s"), x, F.col("o")))
+
+    ends = cut(first_four(known).where(F.col("p").isin(DOMAIN, RANGE)).select("s", "p", "o").distinct())
+    many = ends.count() > FEW
+    # the text of triples packs so well that parts of equal bytes would be too large when unpacked, so rows count
+    parts = known.count() // SHARE + 1
+    rows = first_four(known.repartition(parts, "s", "p", "o"))
+    for rule, end in ((DOMAIN, "s"), (RANGE, "o")):
+        rows = _follow(rows, F.col("p"), (_rules(ends, rule), many), lambda x, end=end: (F.col(end), F.lit(TYPE), x))
+    return rows.repartition(4 * parts, "s", "p", "o").groupBy("s", "p", "o").agg(F.min("fresh").alias("fresh"))
+
+
 def rdfs_infer(t: DataFrame, max_iter: int = 1) -> DataFrame:
     """The new triples of six rules in order, each seeing what those before it found.
 
     One pass by default; more until nothing is new.
     """
-    known = t.select("s", "p", "o").distinct()
-    start = known
-    for _ in range(max_iter):
-        before = known
-        is_a = lambda p: known.where(F.col("p") == p).select("s", "o")
-
-        def add(found: DataFrame) -> None:
-            nonlocal known
-            known = known.unionByName(found.select("s", "p", "o")).distinct()
-
-        for p in (SUB_CLASS, None, SUB_PROPERTY):
-            if p is None:
-                a, b = is_a(TYPE).alias("a"), is_a(SUB_CLASS).alias("b")
-                add(a.join(b, F.col("a.o") == F.col("b.s")).select("a.s", F.lit(TYPE).alias("p"), F.col("b.o").alias("o")))
-            else:
-                a, b = is_a(p).alias("a"), is_a(p).alias("b")
-                add(a.join(b, F.col("a.o") == F.col("b.s")).where(F.col("a.s") != F.col("b.o")).select("a.s", F.lit(p).alias("p"), F.col("b.o").alias("o")))
-        a, b = known.alias("a"), is_a(SUB_PROPERTY).alias("b")
-        add(a.join(b, F.col("a.p") == F.col("b.s")).select("a.s", F.col("b.o").alias("p"), "a.o"))
-        for rule, end in ((DOMAIN, "s"), (RANGE, "o")):
-            a, b = known.alias("a"), is_a(rule).alias("b")
-            add(a.join(b, F.col("a.p") == F.col("b.s")).select(F.col(f"a.{end}").alias("s"), F.lit(TYPE).alias("p"), F.col("b.o").alias("o")))
-        known = cut(known)
-        if max_iter > 1 and known.join(before, ["s", "p", "o"], "left_anti").isEmpty():
-            break
-    return known.join(start, ["s", "p", "o"], "left_anti")
+    known, n = t.select("s", "p", "o", F.lit(False).alias("fresh")), None
+    for i in range(max_iter):
+        known = _rdfs_pass(known)
+        if i + 1 < max_iter:
+            known = cut(known)
+            before, n = n, known.count()
+            if n == before or known.where("fresh").isEmpty():
+                break
+    return known.where("fresh").select("s", "p", "o")
 
 
 def as_inferred(found: DataFrame) -> DataFrame:

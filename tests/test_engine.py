@@ -311,6 +311,24 @@ def test_shapes_of_each_rule_are_the_sql(spark, tmp_path):
     assert [(r["shape"], r["prop"]) for r in o.validate().collect()] == [("ex:shape", "ex:shape/property/0")]
 
 
+@pytest.mark.parametrize("few", [triples.FEW, 0], ids=["few rules", "many rules"])
+def test_inference_moves_each_triple_twice(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(triples, "FEW", few)
+    customers(spark, tmp_path, n=3000)
+    before = shuffled(spark)
+    got, want = against_sql(spark, tmp_path, "rdfs_infer")
+    assert got == want and len(got) > 3000 * 4
+    # 11,000 triples and as many as they make; joined by their predicates they would move for each rule
+    assert few == 0 or shuffled(spark) - before < 3 * (11_000 + len(got))
+
+
+def test_inference_goes_on_and_makes_nothing_of_nulls(spark):
+    t = triples.make(spark, [("a", triples.SUB_CLASS, "b", "iri", None, None, None, False), ("x", triples.TYPE, "a", "iri", None, None, None, False), ("x", "p", None, "iri", None, None, None, False), *[(f"{i}", triples.SUB_CLASS, f"{i + 1}", "iri", None, None, None, False) for i in range(5)]])
+    assert {tuple(r) for r in triples.rdfs_infer(t).where("p = 'p' or s = 'x'").collect()} == {("x", triples.TYPE, "b")}
+    found = triples.rdfs_infer(t, 5).where(F.col("p") == triples.SUB_CLASS).collect()
+    assert {(r["s"], r["o"]) for r in found} == {(f"{i}", f"{j}") for i in range(6) for j in range(i + 2, 6)}
+
+
 def test_routing(spark):
     routes = spark.createDataFrame([("greeting", 0, "hello world there you"), ("search", 1, "search documents")], "route string, place int, utterance string")
     q = spark.createDataFrame([(1, "hello world"), (2, "search for documents"), (3, "zzz")], "query_id int, text string")
