@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 STOP_WORDS = sorted(
     set(
@@ -310,10 +310,25 @@ def chunk_spans(text: str, size: int = 500, overlap: int = 125) -> list[tuple[in
     return out
 
 
+#: Characters of text whose chunks are in a Python worker's memory at a time, if no single text has more.
+CHUNKED = 1 << 20
+
+
 def chunker(size: int = 500, overlap: int = 125) -> Callable[[Column], Column]:
     """Column of text to an array of (chunk_no, start, end, content), in Arrow batches."""
-    @pandas_udf("array<struct<chunk_no:int,start:int,end:int,content:string>>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"chunk_no": i, "start": a, "end": b, "content": t[a:b]} for i, (a, b) in enumerate(chunk_spans(t or "", size, overlap))])
+    kind = pa.list_(pa.struct([("chunk_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())]))
+
+    @arrow_udf("array<struct<chunk_no:int,start:int,end:int,content:string>>")
+    def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out, held = [], 0
+            for x in texts:
+                t = x.as_py() or ""
+                out.append([{"chunk_no": i, "start": a, "end": b, "content": t[a:b]} for i, (a, b) in enumerate(chunk_spans(t, size, overlap))])
+                held += len(t)
+                if held >= CHUNKED:
+                    yield pa.array(out, kind)
+                    out, held = [], 0
+            yield pa.array(out, kind)
 
     return chunks

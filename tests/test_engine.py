@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,15 @@ def test_chunks_are_the_loop():
             assert T.chunk_spans(text, size, overlap) == naive_chunks(text, size, overlap)
 
 
+def test_chunks_leave_python_in_small_pieces(spark):
+    texts = ["x" * 300_000] * 20 + [None, ""]
+    sizes = [len(x) for x in T.chunker().func(iter([pa.array(texts)]))]
+    assert sum(sizes) == len(texts) and max(sizes) == -(-T.CHUNKED // 300_000)
+    docs = spark.createDataFrame([(i, f"{i}" * 300_000) for i in range(10)] + [(10, None)], "id int, content string").coalesce(1)
+    got = memory.chunks(docs).groupBy("knowledge_id").agg(F.max("end"), F.min(F.substring("content", 1, 1)), F.max(F.substring("content", 1, 1))).collect()
+    assert sorted(map(tuple, got)) == [(i, 300_000, f"{i}", f"{i}") for i in range(10)]
+
+
 @pytest.mark.parametrize("name", ["chunk_stats", "knowledge_search"])
 def test_chunks_of_signs_at_their_ends(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
